@@ -24,7 +24,7 @@ from .quality_classifier import fold
 #: Weights are hashed into so many places (a fixed 256 KB for tasks).
 DIMS = 1 << 16
 #: Labelled documents that the fit reads at most: the first by a hash of the id.
-SAMPLE = 6000
+SAMPLE = 9000
 THRESHOLD = 0.7
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?\n")] = True
@@ -80,7 +80,7 @@ def _ascend(place, sent, of, y, w, b, steps, rate, l1):
     return w, b
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 1e-3, start: float = -6.0):
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 8e-4, start: float = -6.0):
     """Weights and bias from (places, sentences, label) of each bag.
 
     A first fit under an absolute-value penalty finds the words that matter; a second
