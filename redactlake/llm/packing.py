@@ -45,6 +45,8 @@ class Encoder:
     OTHER = re.compile("[^\t-\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
     PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u017f0-9\\s]+")
     WORD = re.compile("[^\t-\r ]+")
+    #: Byte-level vocabularies write a byte that cannot be shown as a character from 256 on.
+    PRINTABLE = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b < 0x7F or 0xA1 <= b < 0xAD or 0xAE <= b))}
 
     def __init__(self, name: str = "word_bpe_49k.json"):
         import os
@@ -54,27 +56,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[str], split: bool) -> None:
         memo = self.memo
         new = {w for w in parts if w not in memo}
         if len(memo) + len(new) > self.MEMO:
             memo.clear()
             new = set(parts)
-        new = list(new)
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            memo[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for w in new:
+            if split:  # normalised and split: the model alone is left, which knows bytes by printable characters
+                found = [t.id for t in self.model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(self.PRINTABLE))]
+            else:
+                found = self.tokenizer.encode(w, add_special_tokens=False).ids
+            memo[w] = struct.pack(f"<{len(found)}I", *found)
 
     def ids(self, text: str) -> bytes:
-        if self.OTHER.search(text) or "<|" in text:  # "<|": the tokenizer's special tokens
-            parts = self.WORD.findall(text)
-        else:
-            parts = self.PART.findall(text.lower())
+        split = not self.OTHER.search(text) and "<|" not in text  # "<|": the tokenizer's special tokens
+        parts = self.PART.findall(text.lower()) if split else self.WORD.findall(text)
         try:
             return b"".join([self.memo[w] for w in parts])
         except KeyError:
-            self._learn(parts)
+            self._learn(parts, split)
             return b"".join([self.memo[w] for w in parts])
 
 
