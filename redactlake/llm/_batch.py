@@ -6,7 +6,6 @@ follow the number of rows in a batch; a chunk holds whole texts.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -145,10 +144,11 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, k: int):
     count = np.diff(wb)
     short = np.flatnonzero((count > 0) & (count < k))
     if len(short):
-        own = np.empty(len(short), U64)
-        for i, d in enumerate(short):
-            w = h[wb[d] : wb[d + 1]]
-            own[i] = mix(np.array([(w * _STEP[: len(w)]).sum() + U64(len(w)) * U64(0x9E3779B97F4A7C15)], dtype=U64))[0]
+        own = count[short].astype(U64) * U64(0x9E3779B97F4A7C15)
+        for j in range(k - 1):
+            there = count[short] > j
+            own[there] += h[wb[short[there]] + j] * _STEP[j]
+        own = mix(own)
         sh, doc = np.concatenate([sh, own]), np.concatenate([doc, short])
     order = np.lexsort((sh, doc))
     sh, doc = sh[order], doc[order]
