@@ -1,9 +1,48 @@
 """All queries of the engine's own operators and their SQL."""
 
+from __future__ import annotations
 
-def queries() -> dict:
-    return {}
+import importlib
+import importlib.util
+from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame, SparkSession
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+_PLANS = ("text", "values", "pages", "tables", "ledger", "learning", "streams", "pixels")
+
+
+def query(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    if name in _QUERIES:
+        raise ValueError(f"two queries are named {name}")
+    _QUERIES[name] = build
+    if sql is not None:
+        _SQL[name] = sql
+
+
+def scalar(name: str, fixture: str, keep: tuple[str, ...] = ("id",), /, **cols: tuple[Column | Callable[[], Column], str]) -> None:
+    """A query of columns over a fixture: each with its SQL."""
+    from .plans.fixtures import frame, plain
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return frame(spark, sf_dir, fixture).select(*keep, *((c() if callable(c) else c).alias(n) for n, (c, _) in cols.items()))
+
+    query(name, build, f"WITH fx AS ({plain(fixture)}) SELECT {', '.join([*keep, *(f'{s} AS {n}' for n, (_, s) in cols.items())])} FROM fx")
+
+
+def _load() -> None:
+    if not _QUERIES:
+        for plan in _PLANS:
+            if importlib.util.find_spec(f"{__package__}.plans.{plan}"):
+                importlib.import_module(f"{__package__}.plans.{plan}")
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
