@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 CHUNK = 2 << 20
@@ -205,3 +206,13 @@ def partitions_for(df: DataFrame, mb: int) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(-(-size // (mb << 20)), 1 << 20))
+
+
+#: Rows of one long that a join may broadcast (some 30 MB); beyond them both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def having(rows: DataFrame, keys: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """rows with (left_anti: without) a key of keys, which is stored and is counted first."""
+    few = keys.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(keys) if few else keys.hint("shuffle_hash"), key, how)

@@ -3,7 +3,7 @@
 Every byte covered by a `length`-byte string that also starts elsewhere is removed.
 Suffixes are sampled by content: each window of `length` bytes chooses the place in
 it whose short gram has the least hash, so equal windows choose the same place and
-the sampled suffixes (about 1.1 % of all) meet every repeat. A suffix is kept with
+the sampled suffixes (about 1.7 % of all) meet every repeat. A suffix is kept with
 the run of windows that chose it and the hash of the bytes that they cover.
 
 Chunks of texts are the batches. A batch's suffixes are sorted (gram first, covered
@@ -14,7 +14,8 @@ an equal is settled there. One that shares only its gram has its windows compare
 one by one, by a second family with the windows' own hashes.
 
 Copies within a batch are settled in the batch and represented by one suffix, so a
-hot passage costs a task one entry a batch. Equality is by two hashes (96 bits).
+hot passage costs a task one entry a batch. Equality is by hashes of 96 bits
+(runs) or 64 bits within a task's bounded share (windows).
 
 Nulls, ties, empties: a null text is empty; texts under `length` bytes stay whole;
 all copies of a repeat go, the first too, and so do repeated rows; an empty table
@@ -28,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import BASE, BYTE, U64, chunks, load, materialised, mix, partitions_for, powers, texts
+from ._batch import BASE, BYTE, U64, chunks, having, load, materialised, mix, partitions_for, powers, repeated, texts
 from ._blobs import ragged
 
-LENGTH, GRAM = 200, 24
+LENGTH, GRAM = 200, 80
 CHUNK = 8 << 20
 _BLOCK = 1 << 19
 _SIZE = _BLOCK + 1024
@@ -40,7 +41,9 @@ _INV = powers(pow(BASE, -1, 1 << 64), _SIZE)
 _LOCAL = U64((1 << 20) - 1)
 #: What is known of a suffix: its run repeats whole; the same, and others share its gram; only its gram is shared.
 SETTLED, BOTH, OPEN = 1, 2, 3
-_ENTRY = np.dtype([("q", "u8"), ("s", "u8"), ("row", "i8"), ("at", "u4"), ("n", "u2"), ("dup", "u1"), ("multi", "u1")])
+_SENT = np.dtype([("q", "u8"), ("s", "u4"), ("row", "i8"), ("at", "u4"), ("n", "u1"), ("dup", "u1")])
+_ENTRY = np.dtype([("q", "u8"), ("s", "u4"), ("row", "i8"), ("at", "u4"), ("n", "u1"), ("dup", "u1"), ("multi", "u1")])
+_RUN = np.dtype([("row", "i8"), ("at", "u4"), ("n", "u1")])
 _SPAN = np.dtype([("at", "u4"), ("n", "u2")])
 SCHEMA = "kind int, bucket int, blob binary"
 
@@ -61,10 +64,15 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def suffixes(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """Sampled suffixes of the texts in buf: gram hash, hash of the covered bytes, text, first window in it, windows."""
+def suffixes(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM, first=None, stop=None):
+    """Sampled suffixes of the texts in buf: gram hash, hash of the covered bytes, text, first window in it, windows.
+
+    first and stop: rising ranges of windows, by place in buf; else all that lie within one text.
+    """
     out = []
     ends = offs[1:]
+    if first is None:
+        first, stop = offs[:-1], np.maximum(ends - length + 1, offs[:-1])
     for a in range(0, len(buf) - length + 1, _BLOCK):
         block = buf[a : a + _BLOCK + length - 1]
         n = len(block) - length + 1
@@ -72,12 +80,11 @@ def suffixes(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
         g = mix((S[gram:] - S[:-gram]) * _INV[: len(block) - gram + 1])
         least = _sliding_min((g & ~_LOCAL) | np.arange(len(g), dtype=U64), length - gram + 1)
         valid = np.zeros(n + 1, np.int64)
-        lo, hi = np.searchsorted(ends, a, "right"), np.searchsorted(offs[:-1], a + n, "left")
-        first = np.maximum(offs[:-1][lo:hi] - a, 0)
-        stop = np.minimum(ends[lo:hi] - length + 1 - a, n)
-        full = stop > first
-        np.add.at(valid, first[full], 1)
-        np.add.at(valid, stop[full], -1)
+        lo, hi = np.searchsorted(stop, a, "right"), np.searchsorted(first, a + n, "left")
+        x, y = np.maximum(first[lo:hi] - a, 0), np.minimum(stop[lo:hi] - a, n)
+        full = y > x
+        np.add.at(valid, x[full], 1)
+        np.add.at(valid, y[full], -1)
         idx = np.flatnonzero(np.cumsum(valid[:-1]) > 0)
         if not len(idx):
             continue
@@ -92,18 +99,16 @@ def suffixes(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def window_hashes(text: np.ndarray, at: np.ndarray, length: int = LENGTH):
-    """Two hashes of the window at each place of at (ascending)."""
-    one, two = [], []
-    for a in range(0, max(len(text) - length + 1, 0), _BLOCK):
+def window_hashes(buf: np.ndarray, at: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Hash of the window at each place of at (rising)."""
+    out = []
+    for a in range(0, max(len(buf) - length + 1, 0), _BLOCK):
         i, j = np.searchsorted(at, [a, a + _BLOCK])
         if j > i:
-            S = _sums(text[a : a + _BLOCK + length - 1])
+            S = _sums(buf[a : a + _BLOCK + length - 1])
             p = at[i:j] - a
-            raw = (S[p + length] - S[p]) * _INV[p]
-            one.append(mix(raw))
-            two.append(mix(raw + U64(0x632BE59BD9B4E019)))
-    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, U64), np.zeros(0, U64))
+            out.append(mix((S[p + length] - S[p]) * _INV[p]))
+    return np.concatenate(out) if out else np.zeros(0, U64)
 
 
 def _spans(row: np.ndarray, code: np.ndarray, at: np.ndarray, n: np.ndarray):
@@ -119,9 +124,9 @@ def _spans(row: np.ndarray, code: np.ndarray, at: np.ndarray, n: np.ndarray):
 
 def _batch_out(g, s, row, at, n, buckets: int):
     """The blobs of one batch: settled spans (kind 1), and sorted distinct suffixes by bucket (kind 0)."""
-    e = np.empty(len(g), _ENTRY)
+    e = np.empty(len(g), _SENT)
     e["q"] = (g & U64(0xFFFFFFFF00000000)) | (s >> U64(32))
-    e["s"], e["row"], e["at"], e["n"], e["multi"] = s, row, at, n, 0
+    e["s"], e["row"], e["at"], e["n"] = s & U64(0xFFFFFFFF), row, at, n
     bucket = ((g & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int64)
     order = np.lexsort((e["s"], e["q"], bucket))
     e, bucket = e[order], bucket[order]
@@ -134,7 +139,7 @@ def _batch_out(g, s, row, at, n, buckets: int):
     blobs = [e[a:z].tobytes() for a, z in zip(first, [*first[1:], len(e)], strict=True)]
     if len(settled):
         kind.append(1)
-        where.append(int(settled["s"][0] % U64(buckets)))
+        where.append(int(settled["s"][0]) % buckets)
         blobs.append(settled.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(where, pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "bucket", "blob"])
 
@@ -187,7 +192,10 @@ def _index(batches):
     family = Family()
     for b in batches:
         for kind, blob in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-            e = np.frombuffer(blob.as_buffer().to_pybytes(), _ENTRY).copy()
+            sent = np.frombuffer(blob.as_buffer().to_pybytes(), _SENT)
+            e = np.zeros(len(sent), _ENTRY)
+            for name in _SENT.names:
+                e[name] = sent[name]
             copies = e if kind else family.scan(e)
             if len(copies):
                 yield _emit(copies, np.full(len(copies), SETTLED))
@@ -218,29 +226,65 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     def expand(batches):
         for b in batches:
             rows, spans = b.column(0).to_numpy(), b.column(1).to_pylist()
-            own = texts(b.column(2))
-            parts, held = [], 0
-            for i in range(b.num_rows):
-                span = np.concatenate([np.frombuffer(x, _SPAN) for x in spans[i]])
-                at = np.unique(ragged(span["at"].astype(np.int64), span["n"].astype(np.int64)))
-                text = np.frombuffer(own[i].as_buffer(), np.uint8) if own[i].as_py() else np.zeros(0, np.uint8)
-                for k in range(0, len(at), 1 << 20):
-                    some = at[k : k + (1 << 20)]
-                    one, two = window_hashes(text, some)
-                    parts.append((one, two, np.full(len(some), rows[i]), some))
-                    held += len(some)
-                    if held > 1 << 20:
-                        one, two, row, where = (np.concatenate(x) for x in zip(*parts, strict=True))
-                        yield _batch_out(one, two, row, where, np.ones(len(row), np.int64), buckets)
-                        parts, held = [], 0
-            if parts:
-                one, two, row, where = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield _batch_out(one, two, row, where, np.ones(len(row), np.int64), buckets)
-
-    unsettled = runs.filter(F.col("code") > SETTLED).groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    texts_of = _keyed(docs).select("row", "text").join(unsettled.hint("shuffle_hash"), "row").select("row", "spans", "text")
-    single = index(texts_of.mapInArrow(expand, SCHEMA)).filter(F.col("code") < OPEN)
-    return runs.filter(F.col("code") < OPEN).select("row", "spans").union(single.select("row", "spans"))
+            for lo, hi, buf, offs in chunks(b.column(2), CHUNK):
+                own = [np.concatenate([np.frombuffer(x, _SPAN) for x in spans[i]]) for i in range(lo, hi)]
+                base = np.repeat(offs[:-1], [len(x) for x in own])
+                first = base + np.concatenate([x["at"] for x in own]).astype(np.int64)
+                stop = first + np.concatenate([x["n"] for x in own]).astype(np.int64)
+                order = np.argsort(first, kind="stable")
+                yield _runs_out(buf, offs, rows[lo:hi], first[order], stop[order], buckets)
+
+    ids = materialised(runs.filter(F.col("code") > SETTLED).select("row").distinct())
+    open_ = runs.filter(F.col("code") > SETTLED).groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    some = having(_keyed(docs).select("row", "text"), ids, "row")
+    sent = some.join(open_.hint("shuffle_hash"), "row").select("row", "spans", "text").mapInArrow(expand, "bucket int, blob binary")
+    single = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(_compare, "row long, code int, spans binary")
+    return materialised(runs.filter(F.col("code") < OPEN).select("row", "spans").union(single.select("row", "spans")))
+
+
+def _runs_out(buf, offs, rows, first, stop, buckets: int):
+    """Runs of windows and the windows' hashes, by bucket of their gram: (bucket, blob)."""
+    g, _, doc, at, n = suffixes(buf, offs, first=first, stop=stop)
+    bucket = ((g & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int64)
+    start = offs[doc] + at
+    where = ragged(start, n)
+    rise = np.argsort(where, kind="stable")
+    h = np.empty(len(where), U64)
+    h[rise] = window_hashes(buf, where[rise])
+    run = np.empty(len(g), _RUN)
+    run["row"], run["at"], run["n"] = rows[doc], at, n
+    place = np.cumsum(n) - n
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+    blobs = []
+    for a, z in zip(cut, [*cut[1:], len(order)], strict=True):
+        some = order[a:z]
+        blobs.append(np.uint32(len(some)).tobytes() + run[some].tobytes() + h[ragged(place[some], n[some])].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[order][cut].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _compare(batches):
+    """The windows of a task's runs that are there twice."""
+    runs, hashes = [], []
+    for b in batches:
+        for blob in b.column(1):
+            raw = blob.as_buffer().to_pybytes()
+            k = int(np.frombuffer(raw, np.uint32, 1)[0])
+            runs.append(np.frombuffer(raw, _RUN, k, 4))
+            hashes.append(np.frombuffer(raw, U64, -1, 4 + k * _RUN.itemsize))
+    if not runs:
+        return
+    run, h = np.concatenate(runs), np.concatenate(hashes)
+    n = run["n"].astype(np.int64)
+    again = np.flatnonzero(repeated(h))
+    of = np.repeat(np.arange(len(run)), n)[again]
+    at = run["at"].astype(np.int64)[of] + again - (np.cumsum(n) - n)[of]
+    if not len(again):
+        return
+    first = np.flatnonzero(np.append(True, (np.diff(of) != 0) | (np.diff(at) != 1)))
+    count = np.diff(np.append(first, len(at)))
+    row, code, spans = _spans(run["row"][of[first]], np.full(len(first), SETTLED), at[first], count)
+    yield pa.RecordBatch.from_arrays([row, code, spans], names=["row", "code", "spans"])
 
 
 def _covered(spans: list[bytes], length: int) -> list[tuple[int, int]]:
@@ -256,8 +300,12 @@ def _covered(spans: list[bytes], length: int) -> list[tuple[int, int]]:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, removed (array of struct of first byte and end) and kept (binary)."""
-    found = repeated_windows(docs).groupBy("row").agg(F.collect_list("spans").alias("spans"))
-    rows = _keyed(docs).join(found.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
+    found = repeated_windows(docs)
+    ids = materialised(found.select("row").distinct())
+    spans = found.groupBy("row").agg(F.collect_list("spans").alias("spans"))
+    cut = having(_keyed(docs), ids, "row").join(spans.hint("shuffle_hash"), "row").select("doc_id", "text", "spans")
+    whole = having(_keyed(docs), ids, "row", "left_anti").select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
+    rows = cut.union(whole)
 
     def run(batches):
         for b in batches:
