@@ -1,49 +1,8 @@
-"""Hash entries dealt to buckets as packed arrays.
-
-A map task packs the entries of a chunk of texts into one binary per bucket; rows of
-a shuffle are then blocks of arrays, several times smaller than rows of entries.
-"""
+"""Places of ragged rows."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ._batch import U64
-
-SCHEMA = "bucket int, blob binary"
-
-
-def deal(h: np.ndarray, columns: list[np.ndarray], buckets: int):
-    """A batch of (bucket, blob); a blob holds its entries of h and of each column."""
-    where = ((h >> U64(32)) % U64(buckets)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    where = where[order]
-    at = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
-    cols = [c[order] for c in (h, *columns)]
-    blobs = [b"".join(c[a:z].tobytes() for c in cols) for a, z in zip(at, [*at[1:], len(where)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(where[at].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
-
-
-def undeal(blob: bytes, dtypes: list[str]) -> list[np.ndarray]:
-    kinds = [np.dtype("u8"), *map(np.dtype, dtypes)]
-    n, at, out = len(blob) // sum(k.itemsize for k in kinds), 0, []
-    for k in kinds:
-        out.append(np.frombuffer(blob, k, n, at))
-        at += n * k.itemsize
-    return out
-
-
-def gathered(batches, dtypes: list[str]) -> list[np.ndarray] | None:
-    """All entries of a partition."""
-    parts = [undeal(x.as_buffer().to_pybytes(), dtypes) for b in batches for x in b.column(b.schema.get_field_index("blob"))]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else None
-
-
-def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartitionById(buckets, F.col("bucket"))
 
 
 def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:

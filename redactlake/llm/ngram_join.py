@@ -1,10 +1,13 @@
 """Similarity join on sets of word shingles, with several global token orders.
 
 If two sets are similar, each order of all tokens puts a common token into the
-prefixes of both. Texts with equal sets are one class. Order A (by hash) drops the
-classes that share no prefix token with another. Order B (rarest first, by the
-counts among those left) gives the candidate pairs. A pair must also share prefix
-tokens under A and under C (by a second hash) before its sets are compared.
+prefixes of both; a prefix longer by so many tokens holds so many more. Texts with
+equal sets are one class. Order A (by hash) drops the classes whose prefix, about
+half a set, has too few tokens that any other class has there. Order B (rarest
+first, by the counts among those left) gives the candidate pairs. A pair must also
+share prefix tokens under A and under C (by a second hash) before its sets are
+compared. Orders A and B know tokens by 32 bits within a task's share: a chance
+agreement makes a candidate, not a link.
 
 Candidates of a token are first compared with the smallest set that has it (a
 star), which joins groups of near copies without listing their pairs; then only the
@@ -23,14 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import U64, chunks, load, materialised, mix, partitions_for, shingle_sets
-from ._blobs import SCHEMA, by_bucket, deal, gathered, ragged
+from ._batch import U64, chunks, having, load, materialised, mix, partitions_for, shingle_sets
+from ._blobs import ragged
 from ._graph import components
 
 WORDS = 5
 #: Links have num * union <= den * intersection.
 NUM, DEN = 75, 100
 PAIRS_OF_A_TASK = 2000
+CHUNK = 8 << 20
+_HEAD = np.dtype([("class", "i8"), ("n", "u4"), ("count", "u4")])
 
 
 def prefix(n):
@@ -38,6 +43,11 @@ def prefix(n):
     return n - (NUM * n + DEN - 1) // DEN + 1
 
 
+def wanted(n):
+    """The longer prefix has prefix(n) - 1 + wanted(n) tokens: similar sets of n and more have so many in common there."""
+    return (n + 3) // 4
+
+
 def class_keys(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each set; 0 for the empty one."""
     cs = np.concatenate([np.zeros(1, U64), np.cumsum(mix(sh ^ U64(0xA24BAED4963EE407)))])
@@ -60,42 +70,67 @@ def _members(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _deal_tokens(rows: DataFrame, k: int, buckets: int, whole: bool) -> DataFrame:
-    """(token, class, size) of the A prefix, or of the whole set, of each text."""
+    """Blobs of the longer A prefix, or of the whole set, of each text: classes, their sizes, tokens of each here, tokens."""
 
     def run(batches):
         for b in batches:
-            for _, _, buf, offs in chunks(b.column(0)):
+            for _, _, buf, offs in chunks(b.column(0), CHUNK):
                 sh, bounds = shingle_sets(buf, offs, k)
                 key, n = class_keys(sh, bounds), np.diff(bounds)
                 _, one = np.unique(key, return_index=True)  # copies within the chunk count once
                 one = one[n[one] > 0]
-                take = n[one] if whole else prefix(n[one])
-                at = ragged(bounds[:-1][one], take)
-                yield deal(sh[at], [np.repeat(key[one], take), np.repeat(n[one], take).astype(np.uint32)], buckets)
-
-    return rows.select("text").mapInArrow(run, SCHEMA)
+                take = n[one] if whole else prefix(n[one]) - 1 + wanted(n[one])
+                tok = sh[ragged(bounds[:-1][one], take)]
+                of = np.repeat(np.arange(len(one)), take)
+                where = ((tok >> U64(32)) % U64(buckets)).astype(np.int64)
+                order = np.lexsort((of, where))
+                tok, of, where = tok[order].astype(np.uint32), of[order], where[order]
+                cut = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else np.zeros(0, np.int64)
+                blobs = []
+                for a, z in zip(cut, [*cut[1:], len(where)], strict=True):
+                    first = np.flatnonzero(np.append(True, of[a + 1 : z] != of[a : z - 1]))
+                    head = np.empty(len(first), _HEAD)
+                    d = of[a:z][first]
+                    head["class"], head["n"], head["count"] = key[one][d], n[one][d], np.diff(np.append(first, z - a))
+                    blobs.append(np.uint32(len(head)).tobytes() + head.tobytes() + tok[a:z].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(where[cut].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+    return rows.select("text").mapInArrow(run, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
 
 
 def _shared(batches):
-    """Distinct (token, class, size) of a partition whose token is in two classes or more, and the token's number of classes."""
-    got = gathered(batches, ["i8", "u4"])
-    if got is None or not len(got[0]):
+    """Distinct (token, class, size) of a task whose token is in two classes or more, and the token's number of classes."""
+    heads, tokens, tasks = [], [], []
+    for b in batches:
+        for where, blob in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            raw = blob.as_buffer().to_pybytes()
+            m = int(np.frombuffer(raw, np.uint32, 1)[0])
+            heads.append(np.frombuffer(raw, _HEAD, m, 4))
+            tokens.append(np.frombuffer(raw, np.uint32, -1, 4 + m * _HEAD.itemsize))
+            tasks.append(where)
+    if not heads:
         return None
-    h, key, n = got
+    # a token's full name here is its bucket and 32 bits
+    h = np.concatenate([t.astype(U64) | (U64(w) << U64(32)) for t, w in zip(tokens, tasks, strict=True)])
+    head = np.concatenate(heads)
+    times = head["count"].astype(np.int64)
+    key, n = np.repeat(head["class"], times), np.repeat(head["n"], times)
     order = np.lexsort((key, h))
     h, key, n = h[order], key[order], n[order]
     new = np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]))
     h, key, n = h[new], key[new], n[new]
     at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-    df = np.repeat(np.diff(np.append(at, len(h))), np.diff(np.append(at, len(h))))
+    times = np.diff(np.append(at, len(h)))
+    df = np.repeat(times, times)
     keep = df > 1
     return h[keep], key[keep], n[keep], df[keep]
 
 
-def _survivors(batches):
+def _counts(batches):
     got = _shared(batches)
     if got is not None and len(got[0]):
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(got[1]))], names=["class"])
+        key, count = np.unique(got[1], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["class", "shared"])
 
 
 def _tokens_of_classes(batches):
@@ -106,7 +141,7 @@ def _tokens_of_classes(batches):
     order = np.argsort(key, kind="stable")
     h, key, n, df = h[order], key[order], n[order], np.minimum(df[order], 0xFFFFFFFF).astype(np.uint32)
     at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    ends = [*at[1:], len(key)]
+    ends = np.append(at[1:], len(key))
     for a in range(0, len(at), 5000):
         part = list(zip(at[a : a + 5000], ends[a : a + 5000], strict=True))
         yield pa.RecordBatch.from_arrays(
@@ -183,12 +218,15 @@ def join_classes(docs: DataFrame, k: int = WORDS):
     """Members (doc_id, row, n_shingles, class) and components (node, root) of the classes."""
     members = materialised(_members(docs, k))
     buckets = partitions_for(docs, 32)
-    alive = by_bucket(_deal_tokens(docs, k, buckets, False), buckets).mapInArrow(_survivors, "class long").distinct()
-    reps = members.filter("n_shingles > 0").join(alive, "class", "left_semi").groupBy("class").agg(F.min("row").alias("row"))
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text")
+    shared = _deal_tokens(docs, k, buckets, False).mapInArrow(_counts, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
+    # the smallest similar set has the shortest prefix: what is common to both is counted by it
+    classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"))
+    reps = materialised(classes.join(shared, "class").filter(F.col("shared") >= F.expr(f"(({NUM} * n + {DEN - 1}) div {DEN} + 3) div 4")).select("class", "row"))
+    rows = having(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text"), materialised(reps.select("row").distinct()), "row")
     kept = materialised(rows.join(reps.hint("shuffle_hash"), "row").select("class", "text"))
 
-    tokens = by_bucket(_deal_tokens(kept, k, buckets, True), buckets).mapInArrow(_tokens_of_classes, "class long, n long, tokens binary, counts binary")
+    buckets = partitions_for(kept, 16)
+    tokens = _deal_tokens(kept, k, buckets, True).mapInArrow(_tokens_of_classes, "class long, n long, tokens binary, counts binary")
     own = tokens.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "counts")).alias("parts"))
     cand = materialised(own.mapInArrow(_rare_prefix, "token long, class long, n long"))
 
@@ -231,4 +269,4 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     found = near_duplicates(docs)
     keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row")).distinct()
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return rows.join(keep.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+    return having(rows, materialised(keep), "__row").drop("__row")
