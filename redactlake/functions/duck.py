@@ -42,6 +42,6 @@ def spans(pattern: str, group: int, source: str) -> str:
     """Rows (id, n, whole, value, start) of all matches of a pattern in source (id, text)."""
     p = text(pattern)
     return f"""SELECT id, n, whole, value, before + strpos(whole, value) - 1 AS start FROM (
-  SELECT id, n, wholes[n] AS whole, vals[n] AS value, list_sum(list_transform(parts[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:n-1], lambda x: length(x))), 0) AS before
+  SELECT id, n, wholes[n] AS whole, vals[n] AS value, (list_sum(list_transform(parts[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:n-1], lambda x: length(x))), 0))::BIGINT AS before
   FROM (SELECT id, wholes, vals, parts, unnest(range(1, len(wholes) + 1)) AS n FROM (
     SELECT id, regexp_extract_all(text, {p}) AS wholes, regexp_extract_all(text, {p}, {group}) AS vals, string_split_regex(text, {p}) AS parts FROM {source})))"""

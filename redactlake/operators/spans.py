@@ -55,6 +55,11 @@ def cued_secrets(text: Column, order: int = 0) -> Column:
     return F.concat(*out)
 
 
+def passing(spans: Column, check) -> Column:
+    """Spans whose value passes check."""
+    return F.filter(spans, lambda s: check(s["value"]))
+
+
 def candidates(text: Column) -> Column:
     """All spans of all shapes, in the order in which shapes are tried; none in texts under six characters."""
     out = [
@@ -66,7 +71,7 @@ def candidates(text: Column) -> Column:
     for i, (source, label, check) in enumerate(P.ID_SHAPES):
         found = matches(text, source)
         if check:
-            found = F.filter(found, lambda s, f=valid[check]: f(s["value"]))
+            found = passing(found, valid[check])
         out.append(_tagged(found, "id_text", label, 10 + i))
     for i, (source, label) in enumerate(P.API_KEYS):
         out.append(_tagged(matches(text, source), "api_key", label, 20 + i))
