@@ -5,9 +5,12 @@ from __future__ import annotations
 import importlib
 import importlib.util
 from collections.abc import Callable
+from types import FunctionType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from .functions.deferred import resolved
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 _PLANS = ("text", "values", "pages", "tables", "ledger", "learning", "streams", "pixels")
@@ -21,12 +24,16 @@ def query(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str |
         _SQL[name] = sql
 
 
+def _column(c) -> Column:
+    return c() if isinstance(c, FunctionType) else resolved(c)
+
+
 def scalar(name: str, fixture: str, keep: tuple[str, ...] = ("id",), /, **cols: tuple[Column | Callable[[], Column], str]) -> None:
     """A query of columns over a fixture: each with its SQL."""
     from .plans.fixtures import frame, plain
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return frame(spark, sf_dir, fixture).select(*keep, *((c() if callable(c) else c).alias(n) for n, (c, _) in cols.items()))
+        return frame(spark, sf_dir, fixture).select(*keep, *(_column(c).alias(n) for n, (c, _) in cols.items()))
 
     query(name, build, f"WITH fx AS ({plain(fixture)}) SELECT {', '.join([*keep, *(f'{s} AS {n}' for n, (_, s) in cols.items())])} FROM fx")
 

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as _functions
 from pyspark.sql.window import Window
 
 from ..catalog import query, scalar
-from ..functions import checksums as C
+from ..functions import checksums as _checksums
 from ..functions import duck as D
-from ..functions import masks as M
+from ..functions import masks as _masks
 from ..functions import patterns as P
-from ..operators import spans as S
-from ..operators import vault as V
+from ..operators import spans as _spans
+from ..operators import vault as _vault
+from ..functions.deferred import DeferredModule
 from . import fixtures as X
 
+F = DeferredModule(_functions)
+C = DeferredModule(_checksums)
+M = DeferredModule(_masks)
+S = DeferredModule(_spans)
+V = DeferredModule(_vault)
+
 T = F.col("text")
 #: The other engine knows no lookaround: the neighbours are matched, the value is a group.
 _PHONE_SQL = r"(?:^|[^0-9])((?:\+91[\s-]?)?[6-9]\d{4}[\s-]?\d{5})(?:$|[^0-9])"
@@ -113,7 +120,7 @@ _CARDISH, _AADHAARISH, _PAN = r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", r"(?<!\d)\d{
 
 def identifier(text):
     """The first kind of valid identifier in text."""
-    found = lambda p, ok: F.exists(F.regexp_extract_all(text, F.lit(p), F.lit(0)), ok)
+    found = lambda p, ok: F.exists(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda v: ok(v))
     return F.when(found(_CARDISH, C.is_card), "Card number").when(found(_AADHAARISH, C.is_aadhaar), "Aadhaar number").when(text.rlike(P.java(_PAN)), "PAN number")
 
 

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as _functions
 
 from ..catalog import query, scalar
-from ..functions import checksums as C
+from ..functions import checksums as _checksums
 from ..functions import duck as D
-from ..functions import masks as M
+from ..functions import masks as _masks
 from ..functions import patterns as P
-from ..operators.spans import looks_like_secret
+from ..operators import spans as _spans
+from ..functions.deferred import DeferredModule
 from . import fixtures as X
 
+F = DeferredModule(_functions)
+C = DeferredModule(_checksums)
+M = DeferredModule(_masks)
+S = DeferredModule(_spans)
+
 T = F.col("text")
 
 scalar("mth01_luhn_valid", X.NUMBERS, valid=(C.luhn_valid(T), D.luhn("text")))
@@ -63,7 +69,7 @@ scalar("str12_mask_sample", X.VALUES, masked=(M.mask_sample(T), """CASE WHEN len
   ELSE left(trim(text), 2) || repeat('•', least(10, greatest(6, length(trim(text)) - 2))) END"""))
 scalar("str13_mask_digits", X.VALUES, masked=(M.mask_digits(T), "regexp_replace(text, '\\d', '•', 'g')"))
 scalar("str14_mask_alnum", X.VALUES, masked=(M.mask_alnum(T), "regexp_replace(text, '[[:alnum:]]', '•', 'g')"))
-scalar("fil07_looks_like_secret", X.VALUES, secret=(looks_like_secret(T), D.secret("text")))
+scalar("fil07_looks_like_secret", X.VALUES, secret=(S.looks_like_secret(T), D.secret("text")))
 scalar("str10_contains_tokens", X.TOKENED, found=(M.has_token(T), "regexp_matches(text, '<[A-Z]+_[0-9]+>')"))
 scalar("fil60_contains_vault_token", X.TOKENED, found=(M.has_token(T), "regexp_matches(text, '<[A-Z]+_[0-9]+>')"))
 scalar("str22_strip_vault_tokens", X.TOKENED, stripped=(M.strip_tokens(T), "regexp_replace(text, '<[A-Z]+_[0-9]+>', 'redacted', 'g')"))
