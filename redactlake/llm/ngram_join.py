@@ -9,9 +9,9 @@ share prefix tokens under A and under C (by a second hash) before its sets are
 compared. Orders A and B know tokens by 32 bits within a task's share: a chance
 agreement makes a candidate, not a link.
 
-Candidates of a token are first compared with the smallest set that has it (a
-star), which joins groups of near copies without listing their pairs; then only the
-pairs are left whose classes are in different components so far. All of those are
+Candidates of a token are first compared with one class that has it (a star), with
+another one in each round, which joins groups of near copies without listing their
+pairs; then only the pairs are left whose classes are in different components. All of those are
 compared, so no link between components is lost.
 
 Nulls, ties, empties: a null text is empty; texts without words link with nothing;
@@ -34,6 +34,8 @@ WORDS = 5
 #: Links have num * union <= den * intersection.
 NUM, DEN = 75, 100
 PAIRS_OF_A_TASK = 2000
+#: Star rounds before the rest is compared in full.
+ROUNDS = 6
 CHUNK = 8 << 20
 _HEAD = np.dtype([("class", "i8"), ("n", "u4"), ("count", "u4")])
 
@@ -126,45 +128,92 @@ def _shared(batches):
     return h[keep], key[keep], n[keep], df[keep]
 
 
-def _counts(batches):
-    got = _shared(batches)
-    if got is not None and len(got[0]):
-        key, count = np.unique(got[1], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(count)], names=["class", "shared"])
+def _by_class(key: np.ndarray, n: np.ndarray, columns: list[np.ndarray], buckets: int):
+    """Blobs of entries (rising by class) for the task of each class: classes, sizes and counts, then the columns."""
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(first, len(key)))
+    head = np.empty(len(first), _HEAD)
+    head["class"], head["n"], head["count"] = key[first], n[first], count
+    where = (mix(key[first].view(U64)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(where, kind="stable")
+    cut = np.flatnonzero(np.append(True, np.diff(where[order]) != 0))
+    blobs = []
+    for a, z in zip(cut, [*cut[1:], len(order)], strict=True):
+        some = order[a:z]
+        at = ragged(first[some], count[some])
+        blobs.append(np.uint32(len(some)).tobytes() + head[some].tobytes() + b"".join(c[at].tobytes() for c in columns))
+    return pa.RecordBatch.from_arrays([pa.array(where[order][cut].astype(np.int32), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+
+
+def _of_classes(batches, dtypes: list[str]):
+    """class, size and columns of all entries of a task, rising by class; None without any."""
+    parts = []
+    for b in batches:
+        for blob in b.column(1):
+            raw = blob.as_buffer().to_pybytes()
+            m = int(np.frombuffer(raw, np.uint32, 1)[0])
+            head = np.frombuffer(raw, _HEAD, m, 4)
+            at, total, cols = 4 + m * _HEAD.itemsize, int(head["count"].sum()), []
+            for t in dtypes:
+                cols.append(np.frombuffer(raw, t, total, at))
+                at += cols[-1].nbytes
+            parts.append((np.repeat(head["class"], head["count"]), np.repeat(head["n"], head["count"]), *cols))
+    if not parts:
+        return None
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    order = np.argsort(cols[0], kind="stable")
+    return [c[order] for c in cols]
+
 
+def _deal_counts(buckets: int):
+    def run(batches):
+        got = _shared(batches)
+        if got is not None and len(got[0]):
+            key, first, count = np.unique(got[1], return_index=True, return_counts=True)
+            yield _by_class(key, got[2][first], [count.astype(np.uint32)], buckets)
+
+    return run
 
-def _tokens_of_classes(batches):
-    got = _shared(batches)
-    if got is None or not len(got[0]):
+
+def _alive(batches):
+    """Classes whose longer prefix shares enough."""
+    got = _of_classes(batches, ["u4"])
+    if got is None:
         return
-    h, key, n, df = got
-    order = np.argsort(key, kind="stable")
-    h, key, n, df = h[order], key[order], n[order], np.minimum(df[order], 0xFFFFFFFF).astype(np.uint32)
-    at = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-    ends = np.append(at[1:], len(key))
-    for a in range(0, len(at), 5000):
-        part = list(zip(at[a : a + 5000], ends[a : a + 5000], strict=True))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[at[a : a + 5000]]), pa.array(n[at[a : a + 5000]].astype(np.int64)), pa.array([h[x:y].tobytes() for x, y in part], pa.binary()), pa.array([df[x:y].tobytes() for x, y in part], pa.binary())],
-            names=["class", "n", "tokens", "counts"],
-        )
+    key, n, count = got
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = n[first].astype(np.int64)
+    # the smallest similar set has the shortest prefix: what is common to both is counted by it
+    enough = np.add.reduceat(count.astype(np.int64), first) >= wanted((NUM * size + DEN - 1) // DEN)
+    yield pa.RecordBatch.from_arrays([pa.array(key[first][enough])], names=["class"])
+
+
+def _deal_classes(buckets: int):
+    def run(batches):
+        got = _shared(batches)
+        if got is not None and len(got[0]):
+            h, key, n, df = got
+            order = np.argsort(key, kind="stable")
+            yield _by_class(key[order], n[order], [h[order], np.minimum(df[order], 0xFFFFFFFF).astype(np.uint32)], buckets)
+
+    return run
 
 
 def _rare_prefix(batches):
     """The B prefix of each class, less the tokens that it shares with no other: those come first in the order."""
-    for b in batches:
-        out = [[], [], []]
-        for key, n, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            tok = np.concatenate([np.frombuffer(p["tokens"], U64) for p in parts])
-            df = np.concatenate([np.frombuffer(p["counts"], np.uint32) for p in parts])
-            left = prefix(n) - (n - len(tok))
-            if left > 0:
-                tok = tok[np.lexsort((tok, df))[:left]]
-                out[0].append(tok)
-                out[1].append(np.full(len(tok), key, np.int64))
-                out[2].append(np.full(len(tok), n, np.int64))
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out[0]).view(np.int64)), pa.array(np.concatenate(out[1])), pa.array(np.concatenate(out[2]))], names=["token", "class", "n"])
+    got = _of_classes(batches, ["u8", "u4"])
+    if got is None:
+        return
+    key, n, tok, df = got
+    order = np.lexsort((tok, df, key))
+    key, n, tok = key[order], n[order].astype(np.int64), tok[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    count = np.diff(np.append(first, len(key)))
+    left = np.clip(prefix(n[first]) - (n[first] - count), 0, count)
+    at = ragged(first, left)
+    for a in range(0, len(at), 1 << 20):
+        some = at[a : a + (1 << 20)]
+        yield pa.RecordBatch.from_arrays([pa.array(tok[some].view(np.int64)), pa.array(key[some]), pa.array(n[some])], names=["token", "class", "n"])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -218,40 +267,59 @@ def join_classes(docs: DataFrame, k: int = WORDS):
     """Members (doc_id, row, n_shingles, class) and components (node, root) of the classes."""
     members = materialised(_members(docs, k))
     buckets = partitions_for(docs, 32)
-    shared = _deal_tokens(docs, k, buckets, False).mapInArrow(_counts, "class long, shared long").groupBy("class").agg(F.sum("shared").alias("shared"))
-    # the smallest similar set has the shortest prefix: what is common to both is counted by it
-    classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"), F.first("n_shingles").alias("n"))
-    reps = materialised(classes.join(shared, "class").filter(F.col("shared") >= F.expr(f"(({NUM} * n + {DEN - 1}) div {DEN} + 3) div 4")).select("class", "row"))
+    blobs = "bucket int, blob binary"
+    dealt = _deal_tokens(docs, k, buckets, False).mapInArrow(_deal_counts(buckets), blobs)
+    alive = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_alive, "class long")
+    classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"))
+    reps = materialised(classes.join(alive, "class"))
     rows = having(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text"), materialised(reps.select("row").distinct()), "row")
     kept = materialised(rows.join(reps.hint("shuffle_hash"), "row").select("class", "text"))
 
     buckets = partitions_for(kept, 16)
-    tokens = _deal_tokens(kept, k, buckets, True).mapInArrow(_tokens_of_classes, "class long, n long, tokens binary, counts binary")
-    own = tokens.groupBy("class").agg(F.first("n").alias("n"), F.collect_list(F.struct("tokens", "counts")).alias("parts"))
-    cand = materialised(own.mapInArrow(_rare_prefix, "token long, class long, n long"))
+    dealt = _deal_tokens(kept, k, buckets, True).mapInArrow(_deal_classes(buckets), blobs)
+    cand = materialised(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_rare_prefix, "token long, class long, n long"))
 
-    centres = cand.groupBy("token").agg(F.min(F.struct("n", "class")).alias("c"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("token", F.col("c.class").alias("a"), F.col("c.n").alias("an"))
     fits = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
-    stars = materialised(cand.join(centres, "token").filter((F.col("class") != F.col("a")) & fits(F.col("n"), F.col("an"))).select("a", F.col("class").alias("b")).distinct())
-    links = verified(stars, kept, k)
-    first = components(links)
+    comps, links, tried = None, None, None
+    for r in range(ROUNDS):
+        placed = _placed(cand, comps)
+        # a star round each token: one class in it, another each round, is compared with the rest; a class takes one
+        mid = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), "class", "n", "root")).alias("c"))
+        near = placed.join(mid, "token").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
+        pairs = materialised(near.groupBy(F.col("class").alias("b")).agg(F.min("c").alias("c")).select(F.col("c.class").alias("a"), "b"))
+        if pairs.isEmpty():
+            return members, comps
+        found = verified(pairs, kept, k)
+        tried = pairs if tried is None else tried.union(pairs)
+        if r and found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        comps = components(links)
 
     # what is left: candidates of a token in different components
-    placed = cand.join(first, cand["class"] == first["node"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
+    placed = _placed(cand, comps)
     mixed = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("token")
     placed = materialised(placed.join(mixed, "token", "left_semi"))
     x, y = placed.toDF("token", "a", "an", "ar"), placed.toDF("token", "b", "bn", "br")
     rest = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
-    seen = stars.union(stars.select("b", "a"))
-    rest = materialised(rest.join(seen, ["a", "b"], "left_anti"))
+    rest = materialised(rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
     if rest.isEmpty():
-        return members, first
+        return members, comps
     return members, components(links.union(verified(rest, kept, k)))
 
 
+def _placed(cand: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """token, class, n, root so far."""
+    if comps is None:
+        return cand.withColumn("root", F.col("class"))
+    return cand.join(comps, cand["class"] == comps["node"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
     """doc_id, row, n_shingles, component_id."""
     members, comps = join_classes(docs, k)
+    if comps is None:
+        comps = members.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
     least = members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = least.join(comps, least["class"] == comps["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
