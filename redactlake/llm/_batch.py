@@ -201,9 +201,14 @@ def materialised(df: DataFrame) -> DataFrame:
 
 
 def partitions_for(df: DataFrame, mb: int) -> int:
-    """Partitions of about mb MB of the estimated size of df's plan, and no fewer than the session's shuffle partitions."""
+    """Partitions of about mb MB of df's size, and no fewer than the session's shuffle partitions.
+
+    The size is the plan's estimate (that of the files read); without one, texts are summed.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        size = df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(-(-size // (mb << 20)), 1 << 20))
 

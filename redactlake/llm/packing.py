@@ -27,7 +27,8 @@ from ._batch import load, materialised, texts
 
 CAPACITY = 4096
 CLOSING = 1
-OPEN = 1024
+#: Open sequences at most: more than a group needs, so that large pieces, which come first, wait for small ones.
+OPEN = 8192
 #: Tokens and pieces of a group at most, about: one task sorts and packs a group.
 GROUP_TOKENS, GROUP_PIECES = 24_000_000, 400_000
 
