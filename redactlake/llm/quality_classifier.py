@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import load, materialised
+from ._batch import having, load, materialised
 from ._statistics import NAMES, statistics
 
 FEATURES = 192
@@ -199,8 +199,8 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, least: floa
     writes the result scores as it goes.
     """
     labels = load(spark, sf_dir, "labels")
-    y = labels.select("doc_id").distinct()
-    model = trained(materialised(with_statistics(docs.join(y, "doc_id", "left_semi"), ["doc_id"])), labels, fold(F.col("doc_id"), 4) != 2, "quality")
+    y = materialised(labels.select("doc_id").filter("doc_id IS NOT NULL").distinct())
+    model = trained(materialised(with_statistics(having(docs, y, "doc_id"), ["doc_id"])), labels, fold(F.col("doc_id"), 4) != 2, "quality")
     schema = docs.schema
     text_at = docs.columns.index("text")
 
