@@ -14,7 +14,7 @@ F = DeferredModule(_functions)
 L = DeferredModule(_ledger)
 
 _ENTRIES = "SELECT user_id AS chain, event_type AS type, event_id, CAST(unix_millis(ts) AS BIGINT) AS at FROM {events}"
-_E_SQL = "SELECT user_id AS chain, event_type AS type, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS seq FROM events"
+_E_SQL = "SELECT user_id AS chain, event_type AS type, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS seq FROM events"
 _PRE = "'{\"at\":' || CAST(e.ms AS VARCHAR) || ',\"event\":' || CAST(e.event_id AS VARCHAR) || ',\"prev\":\"' || {0} || '\",\"scheme\":3,\"seq\":' || CAST(e.seq AS VARCHAR) || ',\"type\":\"' || e.type || '\"}'"
 _CHAIN = f"""WITH RECURSIVE e AS ({_E_SQL}), c AS (
   SELECT e.chain, e.seq, e.type, repeat('0', 64) AS prev, sha256({_PRE.replace('{0}', "repeat('0', 64)")}) AS hash FROM e WHERE seq = 1
