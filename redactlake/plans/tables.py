@@ -9,6 +9,7 @@ from ..catalog import query, scalar
 from ..functions import boxes as _boxes
 from ..functions import masks as _masks
 from ..functions.deferred import DeferredModule
+from ..operators.suppression import suppressed
 from . import fixtures as X
 
 F = DeferredModule(_functions)
@@ -61,22 +62,7 @@ query("top11_cap_boxes", lambda s, d: _boxes(s, d).withColumn("rn", F.row_number
 query("top12_area_then_confidence", lambda s, d: _boxes(s, d).withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy(F.desc(F.col("w") * F.col("h")), F.desc("conf"), "n"))).select("page", "n", "rank"), f"SELECT page, n, row_number() OVER (PARTITION BY page ORDER BY w * h DESC, conf DESC, n) AS rank FROM ({X.plain(_REGIONS)})")
 
 
-def suppressed(pdf):
-    """Greedy suppression of a page's boxes, largest first: kept unless half covered by a kept one."""
-    import numpy as np
-
-    pdf = pdf.assign(area=pdf.w * pdf.h).sort_values(["area", "conf", "n"], ascending=[False, False, True])
-    keep = []
-    for i, r in enumerate(pdf.itertuples()):
-        k = pdf.iloc[keep]
-        w = np.clip(np.minimum(k.x + k.w, r.x + r.w) - np.maximum(k.x, r.x), 0, None)
-        h = np.clip(np.minimum(k.y + k.h, r.y + r.h) - np.maximum(k.y, r.y), 0, None)
-        if not (w * h >= 0.5 * np.minimum(k.area, r.area)).any():
-            keep.append(i)
-    return pdf.iloc[keep][["page", "n"]]
-
-
-query("set02_dedupe_boxes", lambda s, d: _boxes(s, d).groupBy("page").applyInPandas(suppressed, "page long, n int"))
+query("set02_dedupe_boxes", lambda s, d: suppressed(_boxes(s, d)))
 
 # ranking of texts against a query: exact, prefix, word, substring
 _RUNS = "SELECT p_partkey AS id, p_name AS text, p_type AS label, p_size AS y, p_partkey % 100 AS x FROM {part}"
