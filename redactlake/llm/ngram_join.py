@@ -11,8 +11,10 @@ agreement makes a candidate, not a link.
 
 Candidates of a token are first compared with one class that has it (a star), with
 another one in each round, which joins groups of near copies without listing their
-pairs; then only the pairs are left whose classes are in different components. All of those are
-compared, so no link between components is lost.
+pairs; then only the pairs are left whose classes are in different components. Each of those meets
+first by its parity sketches (SKETCH longs of a set): the bits in which two sketches differ are no more than the
+tokens that only one set has, so a pair is passed over only where those are too many for
+a link. All others are compared, so no link between components is lost.
 
 Nulls, ties, empties: a null text is empty; texts without words link with nothing;
 equal sets are linked; repeated rows are linked with each other; ties are broken by
@@ -36,6 +38,8 @@ NUM, DEN = 75, 100
 PAIRS_OF_A_TASK = 2000
 #: Star rounds before the rest is compared in full.
 ROUNDS = 6
+#: Longs of a set's parity sketch.
+SKETCH = 8
 CHUNK = 8 << 20
 _HEAD = np.dtype([("class", "i8"), ("n", "u4"), ("count", "u4")])
 
@@ -231,6 +235,26 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * both >= NUM * (a + b - both)
 
 
+def parities(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A row of SKETCH longs for each set: every token flips one bit."""
+    rows, at = len(bounds) - 1, mix(sh ^ U64(0x9FB21C651E98DF25)) % U64(64 * SKETCH)
+    of = np.repeat(np.arange(rows), np.diff(bounds))
+    odd = np.bincount(of * (64 * SKETCH) + at.astype(np.int64), minlength=rows * 64 * SKETCH).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).reshape(rows, SKETCH)
+
+
+def _sketches(kept: DataFrame, k: int) -> DataFrame:
+    """class and its sketch s0, s1, ..."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, buf, offs in chunks(b.column(1)):
+                got = parities(*shingle_sets(buf, offs, k))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(got[:, j]) for j in range(SKETCH))], names=["class", *(f"s{j}" for j in range(SKETCH))])
+
+    return kept.select("class", "text").mapInArrow(run, "class long, " + ", ".join(f"s{j} long" for j in range(SKETCH)))
+
+
 def _verify(k: int):
     def run(batches):
         mid, own = None, None
@@ -300,8 +324,13 @@ def join_classes(docs: DataFrame, k: int = WORDS):
     placed = _placed(cand, comps)
     mixed = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("token")
     placed = materialised(placed.join(mixed, "token", "left_semi"))
-    x, y = placed.toDF("token", "a", "an", "ar"), placed.toDF("token", "b", "bn", "br")
-    rest = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits(F.col("an"), F.col("bn"))).select("a", "b").distinct()
+    few = having(kept, materialised(placed.select("class").distinct()), "class")
+    placed = placed.join(materialised(_sketches(few, k)), "class").select("token", "class", "n", "root", *(f"s{j}" for j in range(SKETCH)))
+    x, y = (placed.toDF("token", *(f"{side}{c}" for c in ("", "n", "r", *range(SKETCH)))) for side in "ab")
+    apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(SKETCH)), F.lit(0))
+    # similar sets have NUM (an + bn) / (NUM + DEN) tokens in common and more
+    close = apart * (NUM + DEN) <= (F.col("an") + F.col("bn")) * (DEN - NUM)
+    rest = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits(F.col("an"), F.col("bn")) & close).select("a", "b").distinct()
     rest = materialised(rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return members, comps
