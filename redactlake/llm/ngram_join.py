@@ -311,10 +311,10 @@ def join_classes(docs: DataFrame, k: int = WORDS):
         mid = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), "class", "n", "root")).alias("c"))
         near = placed.join(mid, "token").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
         pairs = materialised(near.groupBy(F.col("class").alias("b")).agg(F.min("c").alias("c")).select(F.col("c.class").alias("a"), "b"))
-        if pairs.isEmpty():
-            return members, comps
-        found = verified(pairs, kept, k)
         tried = pairs if tried is None else tried.union(pairs)
+        if pairs.isEmpty():  # of this round's centres; other classes of a token may still link
+            break
+        found = verified(pairs, kept, k)
         if r and found.isEmpty():
             break
         links = found if links is None else links.union(found)
@@ -334,7 +334,8 @@ def join_classes(docs: DataFrame, k: int = WORDS):
     rest = materialised(rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return members, comps
-    return members, components(links.union(verified(rest, kept, k)))
+    found = verified(rest, kept, k)
+    return members, components(found if links is None else links.union(found))
 
 
 def _placed(cand: DataFrame, comps: DataFrame | None) -> DataFrame:

@@ -202,6 +202,32 @@ def test_near_duplicates_of_a_large_group(spark):
     assert sorted(map(tuple, got)) == sorted(brute_components(rows))
 
 
+def test_near_duplicates_beside_a_text_that_holds_them(spark):
+    """A text of another size is every token's centre in the first star round, so that round compares nothing."""
+    from pyspark.sql import functions as F
+
+    def fresh(n):
+        return " ".join(f"w{draw.randrange(10**9)}" for _ in range(n))
+
+    draws, classes = [], []
+    for d in range(60):
+        draw = random.Random(d)
+        p, q = fresh(96), fresh(92)
+        draws.append([p + " " + fresh(8), p + " " + fresh(8), q + " " + fresh(8), q + " " + fresh(8), p + " " + q])
+        for i, t in enumerate(draws[-1]):
+            raw = t.encode()
+            sh, bounds = NJ.shingle_sets(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), NJ.WORDS)
+            classes.append((d, i, int(NJ.class_keys(sh, bounds)[0])))
+    order = spark.createDataFrame(classes, "d int, i int, class long").select("d", F.struct(F.xxhash64("class", F.lit(0)), "i").alias("h")).groupBy("d").agg(F.min("h").alias("first"))
+    hidden = [r.d for r in order.filter("first.i = 4").orderBy("d").collect()]
+    assert len(hidden) > 4
+    for d in hidden[:4]:
+        rows = list(enumerate(draws[d]))
+        got = NJ.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got)) == sorted(brute_components(rows)), d
+        assert [r.component_id for r in sorted(got)] == [0, 0, 2, 2, 4]
+
+
 def test_lines(spark, docs, empty):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, bytes(r.kept)) for r in LD.deduplicated(docs).collect()}
     assert got[15] == (4, 0, 0, b"l1 a\nl2 b\nl3 c\nl4 d") and got[16] == (5, 3, 1, b"x y\nl5 e") and got[17] == (2, 0, 0, b"l2 b\nl3 c")
