@@ -5,7 +5,7 @@ separator is the end of a record, so archives land in whatever store the path na
 Of pages with equal payloads of at least `least` bytes the one with the largest id
 is written as a response; the others revisit it and have no payload of their own.
 
-Reading trusts no magic. Tasks list all candidate records of each block of an
+Reading trusts no magic, and fails on an archive whose chain ends early. Tasks list all candidate records of each block of an
 archive with the offset that each one's length points to, and follow those pointers
 to the end of the block. Pointer jumping over the blocks from the start of each file
 (rounds grow with the logarithm of the blocks) finds where the true chain enters
@@ -85,16 +85,18 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
 
 def _header(raw: bytes, at: int):
     """Named lines of the header at `at` and where its block begins; None if it isn't one."""
-    stop = raw.find(END, at, at + (64 << 10))
-    if stop < 0:
-        return None
-    fields = {}
-    for line in raw[at + len(MAGIC) : stop].split(b"\r\n"):
-        name, colon, value = line.partition(b":")
-        if not colon:
+    fields, at = {}, at + len(MAGIC)
+    while True:  # line by line: headers have any length, and text that isn't one ends the search at once
+        stop = raw.find(b"\r\n", at)
+        if stop < 0:
             return None
-        fields[name.strip().lower()] = value.strip()
-    return fields, stop + len(END)
+        if stop == at:
+            return fields, at + 2
+        colon = raw.find(b":", at, stop)
+        if colon < 0:
+            return None
+        fields[raw[at:colon].strip().lower()] = raw[colon + 1 : stop].strip()
+        at = stop + 2
 
 
 def candidates(raw: bytes, lo: int, hi: int):
@@ -136,7 +138,7 @@ _KIND = pa.list_(pa.struct([(n, pa.string() if n in ("payload_digest", "record_t
 
 
 def _listed(batches):
-    """A row for each block of each archive that has candidates."""
+    """A row for each block of each archive, with the archive's size."""
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
             raw = content.as_buffer().to_pybytes()
@@ -146,8 +148,7 @@ def _listed(batches):
                 for r in reversed(found):  # where each one's chain leaves the block
                     exits[r[0]] = r[1] if r[1] >= lo + BLOCK else exits.get(r[1], r[1])
                 rows = [dict(zip(_FIELDS, (r[0], r[1], exits[r[0]], *r[2:]), strict=True)) for r in found]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([rows], _KIND)], names=["file", "block", "records"])
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([rows], _KIND)], names=["file", "block", "size", "records"])
 
 
 def _entries(blocks: DataFrame) -> DataFrame:
@@ -185,10 +186,14 @@ def _chained(batches):
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record on the chains of the archives."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record on the chains of the archives; an error if a chain ends before its archive does."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    blocks = materialised(files.mapInArrow(_listed, f"file string, block long, records {_RECORDS}"))
-    enters = _entries(blocks).groupBy("file", F.expr(f"at div {BLOCK}").alias("block")).agg(F.collect_set("at").alias("entries"))
+    blocks = materialised(files.mapInArrow(_listed, f"file string, block long, size long, records {_RECORDS}"))
+    reach = _entries(blocks)
+    broken = blocks.select("file", F.col("size").alias("at")).distinct().join(reach, ["file", "at"], "left_anti").first()
+    if broken is not None:
+        raise ValueError(f"the chain of records in {broken['file']} does not reach its end at byte {broken['at']}")
+    enters = reach.groupBy("file", F.expr(f"at div {BLOCK}").alias("block")).agg(F.collect_set("at").alias("entries"))
     return blocks.join(enters, ["file", "block"]).select("entries", "records").mapInArrow(_chained, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

@@ -260,6 +260,29 @@ def test_chains_over_many_blocks(spark, tmp_path, monkeypatch):
     assert WA.read_archives(spark, str(tmp_path / "w")).count() == 60
 
 
+def test_archives_of_long_urls(spark, tmp_path):
+    rows = [(i, "data:text/plain," + "a:b" * 40_000 if i == 3 else f"http://h/{i}", f"<p>{i}</p>") for i in range(9)]
+    WA.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    got = {r.page_id: r.payload_digest for r in WA.read_archives(spark, str(tmp_path / "w")).collect()}
+    import base64
+
+    assert got == {i: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, _, h in rows}
+
+
+@pytest.mark.parametrize("damaged", [0, 4])
+def test_a_broken_chain_is_an_error(spark, tmp_path, damaged):
+    import gzip
+
+    rows = [(i, "u", f"<p>{i}</p>") for i in range(9)]
+    WA.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    raw = gzip.open(next((tmp_path / "w").glob("part-*"))).read()
+    places = [m.start() for m in re.finditer(rb"WARC/1\.1", raw)]
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "part-0.gz").write_bytes(gzip.compress(raw[: places[damaged]] + b"XARC" + raw[places[damaged] + 4 :]))
+    with pytest.raises(ValueError, match="does not reach its end"):
+        WA.read_archives(spark, str(tmp_path / "d"))
+
+
 def test_toxicity_learns_from_documents_which_sentences_offend(spark):
     rows = [(i, ". ".join([words(8), words(8) + (" vile" if i % 4 == 0 else ""), words(8)])) for i in range(800)] + [(9000, None), (9001, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
