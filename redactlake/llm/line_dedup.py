@@ -7,7 +7,11 @@ all places that can repeat. There the matches are extended line by line in both
 directions, as runs of overlapping equal windows, and every line of a run that
 starts earlier (by doc_id, then position) is deleted; the first copy stays.
 
-Nulls, ties, empties: a null text is empty; a text with fewer than RUN lines stays;
+The stage also takes passages of fewer lines than RUN: lines in a row that together
+have WORDS words and more, and texts that are shorter as a whole. Their later copies
+go too. The query does not: its SQL knows runs of RUN lines alone.
+
+Nulls, ties, empties: a null text is empty; a text with fewer than RUN lines stays in the query;
 rows equal in id and text are one document here, and get one result each; a null id
 comes first; an empty table gives an empty result; extra columns are ignored.
 """
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 from ._batch import U64, load, materialised, mix, texts
 
 RUN = 3
+#: Words that make fewer lines than RUN a passage.
+WORDS = 50
 _BLANK = b" \t\n\r\x0b\x0c"
 _STEP = np.array([1, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xA24BAED4963EE407], dtype=U64)
 
@@ -42,6 +48,21 @@ def run_hashes(h: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
+def passage_hashes(h: np.ndarray, n_words: np.ndarray):
+    """Hash and place of each passage of fewer lines than RUN; a place is the first line times RUN, and the number of lines."""
+    keys, places = [np.zeros(0, U64)], [np.zeros(0, np.int64)]
+    for n in range(1, min(RUN - 1, len(h)) + 1):
+        at = np.arange(len(h) - n + 1)
+        key = sum((mix(h[at + j]) * _STEP[j] for j in range(n)), np.zeros(len(at), U64))
+        long = sum(n_words[at + j] for j in range(n)) >= WORDS
+        keys.append(mix(key + U64(n))[long])
+        places.append(at[long] * RUN + n)
+        if n == len(h):  # a whole text, whatever its words
+            keys.append(mix(key + U64(RUN + n)))
+            places.append(at * RUN + n)
+    return np.concatenate(keys), np.concatenate(places)
+
+
 def winnowed(h: np.ndarray) -> np.ndarray:
     """The hashes that windows of RUN lines select: the least, of equals the last."""
     n = len(h) - RUN + 1
@@ -69,55 +90,75 @@ def _exploded(df: DataFrame, f, schema: str) -> DataFrame:
     return df.select("doc_id", "row", "hashes").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, row long, {schema}")
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """row, starts: of each text, the first lines (among its lines that are not blank) of RUN lines that also start earlier."""
+def removed_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """row, places: of each text, the lines (among those that are not blank) of runs that also start earlier; with passages, of these too.
+
+    A place is the first line times RUN, and the number of lines (0 for RUN).
+    """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    least = 1 if passages else RUN
 
     def hashes(batches):
         for b in batches:
             own = texts(b.column(2))
-            got = [line_hashes(own[i].as_buffer().to_pybytes()) for i in range(b.num_rows)]
-            keep = pa.array([i for i, x in enumerate(got) if len(x) >= RUN], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), b.column(1).take(keep), pa.array([x.tobytes() for x in got if len(x) >= RUN], pa.binary())], names=["doc_id", "row", "hashes"])
+            keep, got, short = [], [], []
+            for i in range(b.num_rows):
+                raw = own[i].as_buffer().to_pybytes()
+                h = line_hashes(raw)
+                if len(h) < least:
+                    continue
+                keep.append(i)
+                got.append(h.tobytes())
+                if passages:
+                    found = passage_hashes(h, np.array([n for line in raw.split(b"\n") if (n := len(line.split()))], np.int64))
+                    short.append(found[0].tobytes() + found[1].tobytes())
+                else:
+                    short.append(b"")
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(got, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "row", "hashes", "passages"])
 
-    lines = materialised(rows.mapInArrow(hashes, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, hashes binary"))
+    lines = materialised(rows.mapInArrow(hashes, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, hashes binary, passages binary"))
     prints = _exploded(lines, lambda h: [winnowed(h).view(np.int64)], "print long")
     again = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
     near = prints.join(again, "print", "left_semi").select("row").distinct()
-    runs = _exploded(lines.join(near, "row", "left_semi").dropDuplicates(["row"]), lambda h: [run_hashes(h).view(np.int64), np.arange(len(h) - RUN + 1)], "run long, start long")
+    runs = _exploded(lines.join(near, "row", "left_semi").dropDuplicates(["row"]), lambda h: [run_hashes(h).view(np.int64), np.arange(max(0, len(h) - RUN + 1)) * RUN], "run long, place long")
+    if passages:
+        short = lines.select("doc_id", "row", F.col("passages").alias("hashes"))
+        runs = runs.unionByName(_exploded(short, lambda x: [x[: len(x) // 2].view(np.int64), x[len(x) // 2 :].view(np.int64)], "run long, place long"))
     # one row for each hash: hot runs are combined before the shuffle
-    first = runs.groupBy("run").agg(F.min(F.struct("doc_id", "row", "start")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
-    later = runs.join(first, "run").filter(~F.struct("doc_id", "row", "start").eqNullSafe(F.col("first")))
-    return later.groupBy("row").agg(F.collect_list("start").alias("starts"))
+    start = F.struct("doc_id", "row", F.expr(f"place div {RUN}").alias("start"))
+    first = runs.groupBy("run").agg(F.min(start).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("run", "first")
+    later = runs.join(first, "run").filter(~start.eqNullSafe(F.col("first")))
+    return later.groupBy("row").agg(F.collect_set("place").alias("places"))
 
 
-def cut(text: bytes, starts: list[int] | None):
+def cut(text: bytes, places: list[int] | None):
     """What is left of text, its lines that are not blank, those removed, and the runs that they form."""
     lines = text.split(b"\n")
     full = [i for i, x in enumerate(lines) if x.strip(_BLANK)]
-    if not starts:
+    if not places:
         return text, len(full), 0, 0
-    gone = sorted({i + j for i in starts for j in range(RUN)})
+    gone = sorted({i // RUN + j for i in places for j in range(i % RUN or RUN)})
     drop = {full[i] for i in gone}
     runs = 1 + sum(y != x + 1 for x, y in zip(gone, gone[1:], strict=False))
     return b"\n".join([x for i, x in enumerate(lines) if i not in drop]), len(full), len(gone), runs
 
 
-def _with_starts(docs: DataFrame) -> DataFrame:
+def _with_places(docs: DataFrame, passages: bool = False) -> DataFrame:
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    found = removed_lines(docs).withColumnsRenamed({"row": "__row", "starts": "__starts"})
+    found = removed_lines(docs, passages).withColumnsRenamed({"row": "__row", "places": "__places"})
     return rows.join(found.hint("shuffle_hash"), "__row", "left").drop("__row")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept."""
-    rows = _with_starts(docs.select("doc_id", "text"))
+    rows = _with_places(docs.select("doc_id", "text"))
 
     def run(batches):
         for b in batches:
-            own, starts = texts(b.column(1)), b.column(2).to_pylist()
+            own, places = texts(b.column(1)), b.column(2).to_pylist()
             for lo in range(0, b.num_rows, 500):
-                got = [cut(own[i].as_buffer().to_pybytes(), starts[i]) for i in range(lo, min(lo + 500, b.num_rows))]
+                got = [cut(own[i].as_buffer().to_pybytes(), places[i]) for i in range(lo, min(lo + 500, b.num_rows))]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, len(got)), *(pa.array([x[k] for x in got], pa.int64()) for k in (1, 2, 3)), pa.array([x[0] for x in got], pa.binary())], names=["doc_id", "n_lines", "n_removed", "n_runs", "kept"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_lines long, n_removed long, n_runs long, kept binary")
@@ -150,20 +191,20 @@ FROM marked GROUP BY doc_id
 
 
 def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their repeated lines; those of which no word is left go. n_chars follows the text."""
-    rows = _with_starts(docs)
+    """Documents without their repeated lines and passages; those of which no word is left go. n_chars follows the text."""
+    rows = _with_places(docs, passages=True)
     at, last = rows.columns.index("text"), len(rows.columns) - 1
 
     def run(batches):
         for b in batches:
-            own, starts = texts(b.column(at)), b.column(last).to_pylist()
+            own, places = texts(b.column(at)), b.column(last).to_pylist()
             out, keep = [], []
             for i in range(b.num_rows):
-                if not starts[i]:
+                if not places[i]:
                     out.append(b.column(at)[i].as_py())
                     keep.append(True)
                 else:
-                    left = cut(own[i].as_buffer().to_pybytes(), starts[i])[0]
+                    left = cut(own[i].as_buffer().to_pybytes(), places[i])[0]
                     out.append(left.decode())
                     keep.append(bool(left.strip(_BLANK)))
             cols = list(b.columns[:last])

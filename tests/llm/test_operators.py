@@ -234,6 +234,19 @@ def test_lines(spark, docs, empty):
     assert got[0] == (0, 0, 0, b"") and LD.deduplicated(empty).count() == 0
 
 
+def test_the_stage_cuts_long_passages_of_few_lines(spark):
+    one, x, y, less = words(60, 10**6), words(30, 10**6), words(30, 10**6), words(30, 10**6)
+    rows = [
+        (1, one), (2, f"intro\n {one}\nend"), (3, f"{x}\n\n{y}"), (4, f"a\n{x}\n{y}\nb"), (5, "short tale"), (6, "short tale "), (7, f"short tale\n{one}"),
+        (8, less), (9, f"q\n{less}\nr"), (10, f"{one}\n{one}"), (11, None), (12, ""), (13, f"{y}\n{x}"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in LD.stage_lines(spark, docs, SF).collect()}
+    kept = {i: t for i, t in rows if i not in (2, 4, 6, 7, 10)} | {2: "intro\nend", 4: "a\nb", 7: "short tale"}
+    assert got == kept
+    assert all(r.n_removed == 0 for r in LD.deduplicated(docs).collect())
+
+
 def test_archives(spark, tmp_path):
     fake = "WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:x-page:99>\r\nContent-Length: 4\r\n\r\nabcd\r\n\r\n"
     html = [None, "", "<p>a</p>", "<p>a</p>", "pre " + fake + fake + " post", fake, "é" * 5000, "WARC/1.1\r\nContent-Length: 99999999\r\n\r\n"]
