@@ -345,13 +345,18 @@ def _placed(cand: DataFrame, comps: DataFrame | None) -> DataFrame:
     return cand.join(comps, cand["class"] == comps["node"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, row, n_shingles, component_id."""
+def _rooted(docs: DataFrame, k: int):
+    """Members (doc_id, row, n_shingles, class) and the root of each class that has words (class, least doc_id, root)."""
     members, comps = join_classes(docs, k)
     if comps is None:
         comps = members.select(F.col("class").alias("node"), F.col("class").alias("root")).limit(0)
     least = members.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = least.join(comps, least["class"] == comps["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    return members, least.join(comps, least["class"] == comps["node"], "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, row, n_shingles, component_id."""
+    members, rooted = _rooted(docs, k)
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_class = rooted.join(of_root, "root").select("class", "component_id")
     out = members.join(of_class, "class", "left")
@@ -363,8 +368,16 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document (smallest doc_id) of each component, unchanged."""
-    found = near_duplicates(docs)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("row").alias("__row")).distinct()
+    """One row of each component, unchanged: of the smallest doc_id, of equals the least row hash (a null id is last); texts without words stay."""
+    members, rooted = _rooted(docs, WORDS)
+    worded = members.filter("n_shingles > 0").join(rooted.select("class", "root"), "class")
+    copies = worded.groupBy("root", "doc_id", "row").agg(F.count(F.lit(1)).alias("n"))
+    first = copies.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n")).alias("c"))
+    first = materialised(first.select(F.col("c.row").alias("__row"), F.col("c.n").alias("n")))
+    empty = members.filter("n_shingles = 0").select(F.col("row").alias("__row"))
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    return having(rows, materialised(keep), "__row").drop("__row")
+    out = having(rows, materialised(first.filter("n = 1").select("__row").union(empty).distinct()), "__row")
+    # only rows that repeat are grouped, in part before they are shuffled
+    again = having(rows, materialised(first.filter("n > 1").select("__row")), "__row")
+    one = again.groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("r")).select("r.*")
+    return out.drop("__row").unionByName(one)

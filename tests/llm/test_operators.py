@@ -228,6 +228,17 @@ def test_near_duplicates_beside_a_text_that_holds_them(spark):
         assert [r.component_id for r in sorted(got)] == [0, 0, 2, 2, 4]
 
 
+def test_the_stage_keeps_one_row_of_each_component(spark):
+    base, other = words(60, 10**6), words(60, 10**6)
+    near = base.split()
+    near[5] = "changed"
+    rows = [(1, base, "a"), (1, base, "a"), (1, base, "b"), (1, " ".join(near), "c"), (2, base, "d"), (2, other, "e"), (None, other, "f"), (3, "", "g"), (3, "", "g"), (4, None, "h"), (None, "x y z", "i"), (None, "x y z", "i")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = [tuple(r) for r in NJ.stage_near_duplicates(spark, docs, SF).collect()]
+    assert len(got) == 6 and collections.Counter(got) - collections.Counter(rows) == collections.Counter()
+    assert sum(i == 1 for i, *_ in got) == 1 and {g for *_, g in got if g in "efghi"} == {"e", "g", "h", "i"}
+
+
 def test_lines(spark, docs, empty):
     got = {r.doc_id: (r.n_lines, r.n_removed, r.n_runs, bytes(r.kept)) for r in LD.deduplicated(docs).collect()}
     assert got[15] == (4, 0, 0, b"l1 a\nl2 b\nl3 c\nl4 d") and got[16] == (5, 3, 1, b"x y\nl5 e") and got[17] == (2, 0, 0, b"l2 b\nl3 c")
