@@ -109,7 +109,10 @@ def _detail_sql(fixture):
 
 
 query("fil10_detect_text", lambda s, d: _detail(X.frame(s, d, X.TEXTS)), _detail_sql(X.TEXTS))
-query("fil13_detections_only", lambda s, d: _detail(X.frame(s, d, X.NOTES)).filter("detected").drop("detected"), f"SELECT id, kind, label, value, confidence FROM ({_detail_sql(X.NOTES)}) WHERE detected")
+#: Matchers over the notes, and by a second name over the notes and every document.
+_OVER = (("", X.NOTES), ("_texts", X.TEXTS))
+for _end, _fixture in _OVER:
+    query("fil13_detections_only" + _end, lambda s, d, fx=_fixture: _detail(X.frame(s, d, fx)).filter("detected").drop("detected"), f"SELECT id, kind, label, value, confidence FROM ({_detail_sql(_fixture)}) WHERE detected")
 
 scalar("fil25_reread_labels", X.TEXTS, labels=(
     F.concat_ws(",", *(F.when(T.rlike(P.java(p)), F.lit(label)) for p, label in P.VERIFY)),
@@ -129,7 +132,8 @@ _IDENT_SQL = rf"""CASE WHEN len(list_filter(regexp_extract_all(text, '(?:^|[^0-9
   WHEN regexp_matches(text, '\b[A-Z]{{5}}\d{{4}}[A-Z]\b') THEN 'PAN number' END"""
 _TYPED = F.coalesce(*(F.when(T.rlike(P.java(p)), F.lit(label)) for p, label in P.TYPED_VALUES))
 _TYPED_SQL = "CASE " + " ".join(f"WHEN regexp_matches(text, {D.text(p)}) THEN '{label}'" for p, label in P.TYPED_VALUES) + " END"
-scalar("fil26_matched_identifier", X.NOTES, label=(identifier(T), _IDENT_SQL))
+for _end, _fixture in _OVER:
+    scalar("fil26_matched_identifier" + _end, _fixture, label=(identifier(T), _IDENT_SQL))
 scalar("fil27_typed_value_shape", X.NOTES.replace("'token: ghp_'", "'ghp_'").replace("' and eyJ", "' eyJ"), label=(_TYPED, _TYPED_SQL))
 scalar("fil30_refuse_typed", X.VALUES, verdict=(F.when(F.coalesce(_TYPED, identifier(T)).isNotNull(), "refuse"), f"CASE WHEN coalesce({_TYPED_SQL}, {_IDENT_SQL}) IS NOT NULL THEN 'refuse' END"), label=(F.coalesce(_TYPED, identifier(T)), f"coalesce({_TYPED_SQL}, {_IDENT_SQL})"))
 
@@ -173,7 +177,8 @@ _TOKEN_SPLICE = """ , pieces AS (
   SELECT p.id, string_agg(substr(f.text, pos + 1, greatest(start - pos, 0)) || w, '' ORDER BY start, "end" DESC) AS head, max("end") AS last, count(*) AS n FROM pieces p JOIN fx f USING (id) GROUP BY p.id
 ) SELECT a.id, CASE WHEN d.id IS NULL THEN a.text ELSE d.head || substr(a.text, d.last + 1) END AS sanitized, coalesce(n, 0) AS n_tokens FROM ({fixture}) a LEFT JOIN done d USING (id)"""
 query("str17_sanitize_text", lambda s, d: _tokenized(s, d, X.TEXTS), _kept_sql(X.TEXTS) + _VAULT_SQL + _TOKEN_SPLICE.format(fixture=X.plain(X.TEXTS)))
-query("agg13_token_summary", lambda s, d: V.vault(S.match_pii(X.frame(s, d, X.NOTES)).withColumn("vault", F.expr("id div 1000"))).select("vault", "token", M.mask_alnum(F.col("value")).alias("sample")), _kept_sql(X.NOTES) + _VAULT_SQL + " SELECT vault, token, regexp_replace(value, '[A-Za-z0-9]', '•', 'g') AS sample FROM vault")
+for _end, _fixture in _OVER:
+    query("agg13_token_summary" + _end, lambda s, d, fx=_fixture: V.vault(S.match_pii(X.frame(s, d, fx)).withColumn("vault", F.expr("id div 1000"))).select("vault", "token", M.mask_alnum(F.col("value")).alias("sample")), _kept_sql(_fixture) + _VAULT_SQL + " SELECT vault, token, regexp_replace(value, '[A-Za-z0-9]', '•', 'g') AS sample FROM vault")
 query("str09_resolve", lambda s, d: X.frame(s, d, X.TOKENED).select("id", F.explode(F.regexp_extract_all("text", F.lit("<([A-Z]+)_([0-9]+)>"), F.lit(0))).alias("token")).join(F.broadcast(V.small_vault(s)), "token", "left"), f"WITH fx AS ({X.plain(X.TOKENED)}), v AS (SELECT '<' || p || '_' || i::VARCHAR || '>' AS token, lower(p) || ' value ' || i::VARCHAR AS original FROM (VALUES ('CRED'), ('PII'), ('ID'), ('KEY')) AS a(p), range(1, 5) AS b(i)) SELECT id, f.token, original FROM (SELECT id, unnest(regexp_extract_all(text, '<[A-Z]+_[0-9]+>')) AS token FROM fx) f LEFT JOIN v ON v.token = f.token")
 query("str08_resolve_all", lambda s, d: V.resolved(X.frame(s, d, X.TOKENED), V.small_vault(s)), f"""WITH fx AS ({X.plain(X.TOKENED)}), v AS (SELECT p || '_' || i::VARCHAR AS name, lower(p) || ' value ' || i::VARCHAR AS original FROM (VALUES ('CRED'), ('PII'), ('ID'), ('KEY')) AS a(p), range(1, 5) AS b(i)),
   parts AS (SELECT id, text, wholes, string_split_regex(text, '<[A-Z]+_[0-9]+>|\\b[A-Z]+_[0-9]+\\b') AS gaps FROM (SELECT id, text, regexp_extract_all(text, '<[A-Z]+_[0-9]+>|\\b[A-Z]+_[0-9]+\\b') AS wholes FROM fx)),
@@ -182,9 +187,10 @@ query("str08_resolve_all", lambda s, d: V.resolved(X.frame(s, d, X.TOKENED), V.s
 query("joi10_find_token", lambda s, d: X.frame(s, d, X.VALUES).join(F.broadcast(V.small_vault(s)), F.lower("text") == F.col("original"), "left").select("id", "token"), f"SELECT id, NULL::VARCHAR AS token FROM ({X.plain(X.VALUES)})")
 
 # leaks in what was sent: tokens are blanked, the rest is matched again
-_SENT = X.NOTES.replace("END AS text", "END || ' <CRED_1> <A1_2>' AS text")
-query("led14_scan_for_leaks", lambda s, d: S.match_pii(X.frame(s, d, _SENT).withColumn("text", F.regexp_replace("text", P.WIRE_TOKEN, " "))).select("id", "label", M.mask_sample(F.col("value")).alias("sample")),
-      _kept_sql(f"SELECT id, regexp_replace(text, '<[A-Z][A-Z0-9]*_[0-9]+>', ' ', 'g') AS text FROM ({_SENT})") + """ SELECT id, label, CASE
+for _end, _fixture in _OVER:
+    _sent = _fixture.replace("END AS text", "END || ' <CRED_1> <A1_2>' AS text")
+    query("led14_scan_for_leaks" + _end, lambda s, d, fx=_sent: S.match_pii(X.frame(s, d, fx).withColumn("text", F.regexp_replace("text", P.WIRE_TOKEN, " "))).select("id", "label", M.mask_sample(F.col("value")).alias("sample")),
+          _kept_sql(f"SELECT id, regexp_replace(text, '<[A-Z][A-Z0-9]*_[0-9]+>', ' ', 'g') AS text FROM ({_sent})") + """ SELECT id, label, CASE
   WHEN strpos(value, '@') > 1 AND contains(value, '.') AND length(value) > strpos(value, '@') + 1 THEN left(split_part(value, '@', 1), 2) || '•••@' || substr(value, strpos(value, '@') + 1)
   WHEN regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND length(regexp_replace(value, '[^A-Za-z0-9]', '', 'g')) >= 6 AND NOT regexp_matches(value, '\\s') THEN regexp_replace(value, '[A-Za-z0-9]', '•', 'g')
   WHEN length(regexp_replace(value, '[^0-9]', '', 'g')) >= 4 THEN regexp_replace(value, '[0-9]', '•', 'g')

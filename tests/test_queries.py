@@ -48,6 +48,13 @@ def test_matches_sql(spark, duck, name):
     assert own == theirs
 
 
+@pytest.mark.parametrize("name", ["fil13_detections_only", "fil26_matched_identifier", "agg13_token_summary", "led14_scan_for_leaks"])
+def test_matchers_run_over_documents_too(spark, duck, name):
+    test_matches_sql(spark, duck, f"{name}_texts")
+    rows = catalog.queries()[f"{name}_texts"](spark, SF)
+    assert rows.filter("vault >= 100000" if "vault" in rows.columns else "id >= 100000000").count() > 0
+
+
 def one(spark, column, value):
     return spark.createDataFrame([(value,)], "text string").select(column(F.col("text"))).first()[0]
 
