@@ -4,17 +4,19 @@ If two sets are similar, each order of all tokens puts a common token into the
 prefixes of both; a prefix longer by so many tokens holds so many more. Texts with
 equal sets are one class. Order A (by hash) drops the classes whose prefix, about
 half a set, has too few tokens that any other class has there. Order B (rarest
-first, by the counts among those left) gives the candidate pairs. A pair must also
-share prefix tokens under A and under C (by a second hash) before its sets are
-compared. Orders A and B know tokens by 32 bits within a task's share: a chance
-agreement makes a candidate, not a link.
+first, by the counts among those left) gives the candidate pairs: an entry of its
+prefix knows how large a similar set can be if the two meet there first, so a set
+with many tokens of its own meets small sets only, or none. Of each candidate pair
+the filters of all orders are intersected before a text moves: its prefixes under A
+and under C (by a second hash) must meet too, and its parity sketches (SKETCH longs
+of a set) may differ in no more bits than the tokens that only one of two similar
+sets can have. Orders know tokens by 32 bits: a chance agreement makes a candidate,
+not a link.
 
 Candidates of a token are first compared with one class that has it (a star), with
 another one in each round, which joins groups of near copies without listing their
-pairs; then only the pairs are left whose classes are in different components. Each of those meets
-first by its parity sketches (SKETCH longs of a set): the bits in which two sketches differ are no more than the
-tokens that only one set has, so a pair is passed over only where those are too many for
-a link. All others are compared, so no link between components is lost.
+pairs; then all pairs that are left between classes of different components are
+compared, so no link between components is lost. Tokens of many classes are met in blocks.
 
 Nulls, ties, empties: a null text is empty; texts without words link with nothing;
 equal sets are linked; repeated rows are linked with each other; ties are broken by
@@ -25,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._batch import U64, chunks, having, load, materialised, mix, partitions_for, shingle_sets
@@ -37,7 +39,9 @@ WORDS = 5
 NUM, DEN = 75, 100
 PAIRS_OF_A_TASK = 2000
 #: Star rounds before the rest is compared in full.
-ROUNDS = 6
+ROUNDS = 3
+#: Entries of a token that one task meets with all the others.
+ENTRIES_OF_A_BLOCK = 512
 #: Longs of a set's parity sketch.
 SKETCH = 8
 CHUNK = 8 << 20
@@ -204,7 +208,11 @@ def _deal_classes(buckets: int):
 
 
 def _rare_prefix(batches):
-    """The B prefix of each class, less the tokens that it shares with no other: those come first in the order."""
+    """The B prefix of each class, less the tokens that it shares with no other: those come first in the order.
+
+    most: the largest similar set whose first common token is this one, as nothing before it is common.
+    alone: tokens in 1000 that no other has; a text that others were made from has few.
+    """
     got = _of_classes(batches, ["u8", "u4"])
     if got is None:
         return
@@ -213,24 +221,20 @@ def _rare_prefix(batches):
     key, n, tok = key[order], n[order].astype(np.int64), tok[order]
     first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     count = np.diff(np.append(first, len(key)))
-    left = np.clip(prefix(n[first]) - (n[first] - count), 0, count)
-    at = ragged(first, left)
+    alone = n[first] - count
+    left = np.clip(prefix(n[first]) - alone, 0, count)
+    at, share = ragged(first, left), np.repeat(1000 * alone // n[first], count)
+    most = (n[at] - ragged(alone, left)) * (NUM + DEN) // NUM - n[at]
     for a in range(0, len(at), 1 << 20):
         some = at[a : a + (1 << 20)]
-        yield pa.RecordBatch.from_arrays([pa.array(tok[some].view(np.int64)), pa.array(key[some]), pa.array(n[some])], names=["token", "class", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(tok[some].view(np.int64)), pa.array(key[some]), pa.array(n[some]), pa.array(most[a : a + (1 << 20)]), pa.array(share[some])], names=["token", "class", "n", "most", "alone"])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    """Prefixes meet under A and C, and the intersection is large enough. x and y are sorted."""
+    """The intersection is large enough. x and y are sorted."""
     a, b = len(x), len(y)
     if min(a, b) * DEN < max(a, b) * NUM:
         return False
-    p, q = prefix(a), prefix(b)
-    if not len(np.intersect1d(x[:p], y[:q], assume_unique=True)):
-        return False
-    cx, cy = mix(x), mix(y)
-    if not len(np.intersect1d(np.partition(cx, p - 1)[:p], np.partition(cy, q - 1)[:q], assume_unique=True)):
-        return False
     both = len(np.intersect1d(x, y, assume_unique=True))
     return DEN * both >= NUM * (a + b - both)
 
@@ -243,16 +247,30 @@ def parities(sh: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64).reshape(rows, SKETCH)
 
 
-def _sketches(kept: DataFrame, k: int) -> DataFrame:
-    """class and its sketch s0, s1, ..."""
+_SIGNS = [f"s{j}" for j in range(SKETCH)]
+
+
+def _signatures(kept: DataFrame, k: int) -> DataFrame:
+    """class, n, its prefixes under A and C and its sketch s0, s1, ..."""
 
     def run(batches):
         for b in batches:
             for lo, hi, buf, offs in chunks(b.column(1)):
-                got = parities(*shingle_sets(buf, offs, k))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array(got[:, j]) for j in range(SKETCH))], names=["class", *(f"s{j}" for j in range(SKETCH))])
+                sh, bounds = shingle_sets(buf, offs, k)
+                n, own, c = np.diff(bounds), parities(sh, bounds), mix(sh)
+                at = ragged(bounds[:-1], prefix(n))
+                order = np.lexsort((c, np.repeat(np.arange(len(n)), n)))
+                ends = pa.array(np.append(0, np.cumsum(prefix(n))).astype(np.int32))
+                both = [pa.ListArray.from_arrays(ends, pa.array((x[at] >> U64(32)).astype(np.uint32).view(np.int32))) for x in (sh, c[order])]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), *both, *(pa.array(own[:, j]) for j in range(SKETCH))], names=["class", "n", "pa", "pc", *_SIGNS])
+
+    return kept.select("class", "text").mapInArrow(run, "class long, n long, pa array<int>, pc array<int>, " + ", ".join(f"{c} long" for c in _SIGNS))
 
-    return kept.select("class", "text").mapInArrow(run, "class long, " + ", ".join(f"s{j} long" for j in range(SKETCH)))
+
+def _close(an, bn, signs) -> Column:
+    """Sketches differ in few enough bits: similar sets have NUM (an + bn) / (NUM + DEN) tokens in common and more."""
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in signs), F.lit(0))
+    return apart * (NUM + DEN) <= (an + bn) * (DEN - NUM)
 
 
 def _verify(k: int):
@@ -276,20 +294,41 @@ def _verify(k: int):
     return run
 
 
-def verified(pairs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
-    """Those of pairs (a, b) that are similar, stored. Texts of b come to their a, in tasks of a bounded number of pairs."""
+def _dealt(pairs: DataFrame):
+    """Pairs with the salt of their task, of which each a has enough for its pairs; and a, salt of all tasks."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_OF_A_TASK).cast("int").alias("tasks"))
     left = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("tasks")).cast("int").alias("salt"), "b")
-    left = left.join(kept.withColumnRenamed("class", "b"), "b").select("a", "salt", "b", F.lit(1).alias("nth"), "text")
-    mids = many.join(kept.withColumnRenamed("class", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"), F.col("a").alias("b"), F.lit(0).alias("nth"), "text")
+    return left, many.select("a", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("salt"))
+
+
+def passing(pairs: DataFrame, signs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that pass the filters of all orders, stored."""
+    left, tasks = _dealt(pairs)
+    side = lambda s: signs.toDF(s, *(f"{s}_{c}" for c in signs.columns[1:]))
+    met = left.join(side("b"), "b").join(tasks.join(side("a"), "a"), ["a", "salt"])
+    meet = F.arrays_overlap("a_pa", "b_pa") & F.arrays_overlap("a_pc", "b_pc")
+    return materialised(met.filter(_close(F.col("a_n"), F.col("b_n"), [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in _SIGNS]) & meet).select("a", "b"))
+
+
+def verified(pairs: DataFrame, kept: DataFrame, k: int) -> DataFrame:
+    """Those of pairs (a, b) that are similar, stored. Texts of b come to their a, in tasks of a bounded number of pairs."""
+    own = having(kept, materialised(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()), "class")
+    left, tasks = _dealt(pairs)
+    left = left.join(own.withColumnRenamed("class", "b"), "b").select("a", "salt", "b", F.lit(1).alias("nth"), "text")
+    mids = tasks.join(own.withColumnRenamed("class", "a"), "a").select("a", "salt", F.col("a").alias("b"), F.lit(0).alias("nth"), "text")
     n = partitions_for(kept, 32)
     met = left.unionByName(mids).repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "nth")
     return materialised(met.mapInArrow(_verify(k), "a long, b long"))
 
 
-def join_classes(docs: DataFrame, k: int = WORDS):
-    """Members (doc_id, row, n_shingles, class) and components (node, root) of the classes."""
-    members = materialised(_members(docs, k))
+def _fit(x: str, y: str) -> Column:
+    """Two entries of a token may be the first one that similar sets of their sizes have in common."""
+    n, m = F.col(f"{x}n"), F.col(f"{y}n")
+    return (n <= F.col(f"{y}most")) & (m <= F.col(f"{x}most")) & (F.least(n, m) * DEN >= F.greatest(n, m) * NUM)
+
+
+def _candidates(docs: DataFrame, members: DataFrame, k: int):
+    """Texts of the classes that A leaves, and the entries of their B prefixes that others can meet (token, class, n, most, alone)."""
     buckets = partitions_for(docs, 32)
     blobs = "bucket int, blob binary"
     dealt = _deal_tokens(docs, k, buckets, False).mapInArrow(_deal_counts(buckets), blobs)
@@ -297,52 +336,68 @@ def join_classes(docs: DataFrame, k: int = WORDS):
     classes = members.filter("n_shingles > 0").groupBy("class").agg(F.min("row").alias("row"))
     reps = materialised(classes.join(alive, "class"))
     rows = having(docs.select(F.xxhash64("doc_id", "text").alias("row"), "text"), materialised(reps.select("row").distinct()), "row")
-    kept = materialised(rows.join(reps.hint("shuffle_hash"), "row").select("class", "text"))
+    kept = materialised(rows.join(reps.hint("shuffle_hash"), "row").select("class", "text").dropDuplicates(["class"]))
 
     buckets = partitions_for(kept, 16)
     dealt = _deal_tokens(kept, k, buckets, True).mapInArrow(_deal_classes(buckets), blobs)
-    cand = materialised(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_rare_prefix, "token long, class long, n long"))
+    cand = materialised(dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(_rare_prefix, "token long, class long, n long, most long, alone long"))
+    sizes = cand.groupBy("token").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.count(F.lit(1)).alias("times")).filter("times > 1").drop("times")
+    cand = materialised(cand.join(sizes, "token").filter((F.col("most") >= F.col("lo")) & (F.col("hi") * DEN >= F.col("n") * NUM)).drop("lo", "hi"))
+    return materialised(having(kept, materialised(cand.select("class").distinct()), "class")), cand
 
-    fits = lambda x, y: F.least(x, y) * DEN >= F.greatest(x, y) * NUM
+
+def join_classes(docs: DataFrame, k: int = WORDS):
+    """Members (doc_id, row, n_shingles, class) and components (node, root) of the classes."""
+    members = materialised(_members(docs, k))
+    kept, cand = _candidates(docs, members, k)
+    signs = materialised(_signatures(kept, k))
     comps, links, tried = None, None, None
     for r in range(ROUNDS):
         placed = _placed(cand, comps)
-        # a star round each token: one class in it, another each round, is compared with the rest; a class takes one
-        mid = placed.groupBy("token").agg(F.min(F.struct(F.xxhash64("class", F.lit(r)).alias("h"), "class", "n", "root")).alias("c"))
-        near = placed.join(mid, "token").filter((F.col("root") != F.col("c.root")) & fits(F.col("n"), F.col("c.n")))
+        # a star round each token: one class in it, first the least changed, then others, is compared with the rest; a class takes one
+        nth = F.col("alone") if r == 0 else F.lit(0).cast("long")
+        mid = placed.groupBy("token").agg(F.min(F.struct(nth.alias("nth"), F.xxhash64("class", F.lit(r)).alias("h"), "class", "n", "most", "root")).alias("c"))
+        near = placed.join(mid, "token").filter((F.col("root") != F.col("c.root")) & _fit("", "c."))
         pairs = materialised(near.groupBy(F.col("class").alias("b")).agg(F.min("c").alias("c")).select(F.col("c.class").alias("a"), "b"))
         tried = pairs if tried is None else tried.union(pairs)
         if pairs.isEmpty():  # of this round's centres; other classes of a token may still link
             break
-        found = verified(pairs, kept, k)
+        found = verified(passing(pairs, signs), kept, k)
         if r and found.isEmpty():
             break
         links = found if links is None else links.union(found)
         comps = components(links)
 
-    # what is left: candidates of a token in different components
-    placed = _placed(cand, comps)
-    mixed = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("token")
-    placed = materialised(placed.join(mixed, "token", "left_semi"))
-    few = having(kept, materialised(placed.select("class").distinct()), "class")
-    placed = placed.join(materialised(_sketches(few, k)), "class").select("token", "class", "n", "root", *(f"s{j}" for j in range(SKETCH)))
-    x, y = (placed.toDF("token", *(f"{side}{c}" for c in ("", "n", "r", *range(SKETCH)))) for side in "ab")
-    apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(SKETCH)), F.lit(0))
-    # similar sets have NUM (an + bn) / (NUM + DEN) tokens in common and more
-    close = apart * (NUM + DEN) <= (F.col("an") + F.col("bn")) * (DEN - NUM)
-    rest = x.join(y, "token").filter((F.col("a") < F.col("b")) & (F.col("ar") != F.col("br")) & fits(F.col("an"), F.col("bn")) & close).select("a", "b").distinct()
-    rest = materialised(rest.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
+    rest = passing(_apart(_placed(cand, comps), signs, tried), signs)
     if rest.isEmpty():
         return members, comps
     found = verified(rest, kept, k)
     return members, components(found if links is None else links.union(found))
 
 
+def _apart(placed: DataFrame, signs: DataFrame, tried: DataFrame) -> DataFrame:
+    """Pairs of entries in different components whose sizes and sketches allow a link, stored: a has more pairs than b, so few pairs meet at one b."""
+    mixed = placed.groupBy("token").agg((F.min("root") != F.max("root")).alias("mixed"), F.ceil(F.count(F.lit(1)) / ENTRIES_OF_A_BLOCK).cast("int").alias("blocks")).filter("mixed").drop("mixed")
+    rows = placed.join(mixed, "token").join(signs.select("class", *_SIGNS), "class")
+    rows = materialised(rows.select("token", "blocks", "class", "n", "most", "root", *_SIGNS))
+    own = [c for c in rows.columns if c not in ("token", "blocks")]
+    x = rows.select("token", F.pmod(F.xxhash64("class"), "blocks").cast("int").alias("block"), *(F.col(c).alias(f"a_{c}") for c in own))
+    y = rows.select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"b_{c}") for c in own))
+    far = (F.col("a_class") < F.col("b_class")) & (F.col("a_root") != F.col("b_root")) & _fit("a_", "b_")
+    met = x.join(y, ["token", "block"]).filter(far & _close(F.col("a_n"), F.col("b_n"), [(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in _SIGNS]))
+    pairs = met.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct()
+    pairs = materialised(pairs.join(tried.union(tried.select("b", "a")), ["a", "b"], "left_anti"))
+    times = pairs.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("times"))
+    both = pairs.join(times.toDF("a", "at"), "a").join(times.toDF("b", "bt"), "b")
+    more = F.col("at") >= F.col("bt")
+    return both.select(F.when(more, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(more, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
 def _placed(cand: DataFrame, comps: DataFrame | None) -> DataFrame:
-    """token, class, n, root so far."""
+    """token, class, n, most, alone, root so far."""
     if comps is None:
         return cand.withColumn("root", F.col("class"))
-    return cand.join(comps, cand["class"] == comps["node"], "left").select("token", "class", "n", F.coalesce("root", "class").alias("root"))
+    return cand.join(comps, cand["class"] == comps["node"], "left").select("token", "class", "n", "most", "alone", F.coalesce("root", "class").alias("root"))
 
 
 def _rooted(docs: DataFrame, k: int):
