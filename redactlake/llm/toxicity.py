@@ -1,14 +1,20 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. A sentence's score is a logistic function of its
-hashed words; the document's is the noisy-or of its sentences, so a document is
-toxic if any sentence is. Only documents are labelled; the gradient of the
+hashed features, words and the beginnings of words (languages that glue words
+together share those); the document's is the noisy-or of its sentences, so a document
+is toxic if any sentence is. Only documents are labelled; the gradient of the
 noisy-or hands the blame to sentences. The worst sentence of each document is
 located by the same scores.
 
+Learning reads a sample of labelled documents. Tasks count in how many documents of
+either label each feature stands; the SCREENED features that lean most to label 1 go
+on, and only their places come to the driver, which fits the noisy-or.
+
 Nulls, ties, empties: a text without words has score 0 and no worst sentence; of
 equal sentences the first is reported; null labels are not learnt from; without
-labels every score is 0; extra columns are ignored.
+labels every score is 0; an empty table gives an empty result; repeated rows are
+scored each; a text of any length is scored whole; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._batch import LOWER, U64, chunks, load, words
+from ._batch import BYTE, LOWER, POW, U64, chunks, load, materialised, mix, words
 from .quality_classifier import fold
 
-#: Weights are hashed into so many places (a fixed 256 KB for tasks).
-DIMS = 1 << 16
+#: Features are hashed into so many places (weights: a fixed 1 MB for tasks).
+BITS = 18
+DIMS = 1 << BITS
+#: Bytes of the beginnings of words that are features.
+BEGINNINGS = (3, 4, 5, 6, 7, 8)
 #: Labelled documents that the fit reads at most: the first by a hash of the id.
 SAMPLE = 9000
+#: Features that are fitted at most: each stands in three documents of label 1 and more, by LEAN standard deviations over its share.
+SCREENED, LEAN = 4096, 5.0
 THRESHOLD = 0.7
 _END = np.zeros(256, dtype=bool)
 _END[list(b".!?\n")] = True
@@ -32,46 +43,58 @@ _EDGE = np.zeros(256, dtype=bool)
 _EDGE[list(b".,;:!?()[]{}\"'*_-|&%$#")] = True
 
 
-def sentences(buf: np.ndarray, offs: np.ndarray):
-    """Words as places in the weights, with edge punctuation dropped, and sentences: (place, sentence of each word, first byte and text of each sentence)."""
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with letters of ASCII and Latin-1 in lower case; punctuation is a space."""
     low = LOWER[buf]
-    # punctuation separates words here, so "word," and "word" share a weight
-    flat = np.where(_EDGE[low], np.uint8(32), low)
-    start, _, h, wb = words(flat, offs)
-    place = (h >> U64(48)).astype(np.int64)
+    second = np.flatnonzero(low[:-1] == 0xC3) + 1
+    upper = second[(low[second] >= 0x80) & (low[second] <= 0x9E) & (low[second] != 0x97)]
+    low[upper] += 32
+    return np.where(_EDGE[low], np.uint8(32), low)
+
+
+def sentences(buf: np.ndarray, offs: np.ndarray):
+    """(feature, sentence) pairs, a feature once a sentence, and the first byte and text of each sentence; a sentence has words."""
+    flat = lowered(buf)
+    start, size, h, wb = words(flat, offs)
     ends = np.flatnonzero(_END[buf])
     # a sentence is a text and a count of ends before the word
     doc = np.repeat(np.arange(len(wb) - 1), np.diff(wb))
     nth = np.searchsorted(ends, start)
-    if not len(start):
-        return place, doc, np.zeros(0, np.int64), np.zeros(0, np.int64)
     new = np.ones(len(start), dtype=bool)
     new[1:] = (nth[1:] != nth[:-1]) | (doc[1:] != doc[:-1])
-    return place, np.cumsum(new) - 1, start[new], doc[new]
-
-
-def _distinct_pairs(place: np.ndarray, sent: np.ndarray):
-    """A word counts once a sentence."""
-    key = np.unique(sent.astype(np.int64) * DIMS + place)
-    return key % DIMS, key // DIMS
+    sent = np.cumsum(new) - 1
+    shift = U64(64 - BITS)
+    found, of = [h >> shift], [sent]
+    begun, flat = np.zeros(len(start), U64), np.append(flat, np.zeros(max(BEGINNINGS), np.uint8))
+    for j in range(max(BEGINNINGS)):
+        begun += BYTE[flat[start + j]] * POW[j]
+        if j + 1 in BEGINNINGS:
+            longer = size > j + 1
+            found.append(mix(begun[longer] + U64(j + 1)) >> shift)
+            of.append(sent[longer])
+    key = np.unique((np.concatenate(of) << BITS) + np.concatenate(found).astype(np.int64))
+    return key & (DIMS - 1), key >> BITS, start[new], doc[new]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _ascend(place, sent, of, y, w, b, steps, rate, l1):
-    """Adam on the log likelihood of the noisy-or, less l1 times the weights' absolute values."""
-    n = len(of)
-    m, v, mb, vb = np.zeros(DIMS), np.zeros(DIMS), 0.0, 0.0
+def _ascend(place, sent, of, bare, y, w, b, steps, rate, l1):
+    """Adam on the log likelihood of the noisy-or, less l1 times the weights' absolute values.
+
+    place, sent: features of sentences; of: documents of those; bare: sentences without a feature of each document, which all have score b.
+    """
+    m, v, mb, vb = np.zeros(len(w)), np.zeros(len(w)), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(sent, weights=w[place], minlength=n) + b
-        p = sigmoid(z)
-        clean = np.bincount(of, weights=-np.logaddexp(0, z), minlength=len(y))
+        z = np.bincount(sent, weights=w[place], minlength=len(of)) + b
+        p, own = sigmoid(z), float(sigmoid(np.array(b)))
+        clean = np.bincount(of, weights=-np.logaddexp(0, z), minlength=len(y)) - bare * np.logaddexp(0, b)
         bag = np.maximum(-np.expm1(clean), 1e-9)
-        pull = np.where(y[of] > 0, p * np.exp(clean)[of] / bag[of], -p)
-        g = np.bincount(place, weights=pull[sent], minlength=DIMS) / len(y) - l1 * np.sign(w)
-        gb = pull.sum() / len(y)
+        blame = np.where(y > 0, np.exp(clean) / bag, -1.0)
+        pull = p * blame[of]
+        g = np.bincount(place, weights=pull[sent], minlength=len(w)) / len(y) - l1 * np.sign(w)
+        gb = (pull.sum() + own * (blame * bare).sum()) / len(y)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate / (1 - 0.9**t) * np.sqrt(1 - 0.99**t)
@@ -80,62 +103,83 @@ def _ascend(place, sent, of, y, w, b, steps, rate, l1):
     return w, b
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], l1: float = 8e-4, start: float = -6.0):
-    """Weights and bias from (places, sentences, label) of each bag.
+def fit(bags: list[tuple[np.ndarray, np.ndarray, int, int]], l1: float = 2e-4, start: float = -6.0):
+    """Weights and bias from (features, their sentences, sentences, label) of each bag.
 
-    A first fit under an absolute-value penalty finds the words that matter; a second
+    A first fit under an absolute-value penalty finds the features that matter; a second
     one fits their weights anew without it, so that they are not shrunk.
     """
-    places, sents, of, base, y = [], [], [], 0, []
-    for d, (p, s, label) in enumerate(bags):
-        places.append(p)
-        sents.append(s + base)
-        n = int(s.max()) + 1 if len(s) else 0
-        of.append(np.full(n, d))
-        base += n
-        y.append(label)
-    place, sent, of, y = np.concatenate(places), np.concatenate(sents), np.concatenate(of), np.array(y, float)
-    # words seen in fewer than five bags say nothing that carries over
-    seen = np.bincount(np.unique(of[sent] * DIMS + place) % DIMS, minlength=DIMS)
-    keep = seen[place] >= 5
-    place, sent = place[keep], sent[keep]
-    w, b = _ascend(place, sent, of, y, np.zeros(DIMS), start, 150, 0.15, l1)
-    chosen = np.abs(w) > 0.5
+    count = np.array([len(b[0]) for b in bags])
+    doc = np.repeat(np.arange(len(bags)), count)
+    found = np.concatenate([b[0] for b in bags])
+    base = np.cumsum([0, *(b[2] for b in bags[:-1])])
+    names, place = np.unique(found, return_inverse=True)
+    ids, sent = np.unique(np.concatenate([b[1] for b in bags]) + base[doc], return_inverse=True)
+    of = np.searchsorted(base, ids, "right") - 1
+    bare = np.array([b[2] for b in bags], float) - np.bincount(of, minlength=len(bags))
+    y = np.array([b[3] for b in bags], float)
+    w, b = _ascend(place, sent, of, bare, y, np.zeros(len(names)), start, 150, 0.15, l1)
+    chosen = np.abs(w) > 0.3
     keep = chosen[place]
-    place, sent = place[keep], sent[keep]
-    w, b = _ascend(place, sent, of, y, np.where(chosen, w, 0.0), b, 150, 0.1, 1e-6)
-    return np.where(chosen, w, 0.0).astype(np.float32), float(b)
+    w, b = _ascend(place[keep], sent[keep], of, bare, y, np.where(chosen, w, 0.0), b, 100, 0.1, 1e-5)
+    out = np.zeros(DIMS, np.float32)
+    out[names] = np.where(chosen, w, 0.0)
+    return out, float(b)
+
+
+def _screened(rows: DataFrame) -> tuple[np.ndarray, bool]:
+    """Which features go on, and whether there are labels of both kinds."""
+
+    def run(batches):
+        for b in batches:
+            toxic = b.column(0).to_numpy() > 0
+            for lo, hi, buf, offs in chunks(b.column(1)):
+                place, sent, _, doc = sentences(buf, offs)
+                own = np.unique((doc[sent] << BITS) + place)
+                ones = toxic[lo:hi][own >> BITS]
+                place, at = np.unique(own & (DIMS - 1), return_inverse=True)
+                pos = np.bincount(at, weights=ones, minlength=len(place)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(pos), pa.array(np.bincount(at, minlength=len(place)) - pos)], names=["place", "pos", "neg"])
+
+    ones, n = rows.agg(F.count_if(F.col("toxic") > 0), F.count(F.lit(1))).first()
+    keep = np.zeros(DIMS, bool)
+    if not 0 < ones < n:
+        return keep, False
+    share = ones / n
+    counts = rows.mapInArrow(run, "place long, pos long, neg long").groupBy("place").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    due = (F.col("pos") + F.col("neg")) * share
+    lean = counts.withColumn("lean", (F.col("pos") - due) / F.sqrt(due * (1 - share))).filter((F.col("pos") >= 3) & (F.col("lean") >= LEAN))
+    keep[[r.place for r in lean.orderBy(F.desc("lean"), "place").limit(SCREENED).select("place").collect()]] = True
+    return keep, True
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """Weights and bias, or None without labels. The ids of the sample (at most `sample`) are broadcast; places of its words come to the driver."""
+    """Weights and bias, or None without labels. The ids of the sample (at most `sample`) are broadcast; places of screened features come to the driver."""
     y = (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .filter(fold(F.col("doc_id"), 3) != 1)
         .orderBy(F.xxhash64("doc_id"), "toxic").limit(sample)
-        .select("doc_id", "toxic")
+        .select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("toxic", "text")
+    rows = materialised(docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("toxic", "text"))
+    keep, both = _screened(rows)
+    if not both or not keep.any():
+        return None
 
     def run(batches):
         for b in batches:
-            column = b.column(1)
-            for lo, hi, buf, offs in chunks(column):
+            for lo, hi, buf, offs in chunks(b.column(1)):
                 place, sent, _, doc = sentences(buf, offs)
-                of = doc[sent] if len(sent) else sent
+                many = np.bincount(doc, minlength=hi - lo)
+                first = np.cumsum(many) - many
+                place, sent = place[keep[place]], sent[keep[place]]
+                of = doc[sent]
                 bounds = np.searchsorted(of, np.arange(hi - lo + 1))
-                out = []
-                for i in range(hi - lo):
-                    a, z = bounds[i], bounds[i + 1]
-                    p, s = _distinct_pairs(place[a:z], sent[a:z] - (sent[a] if z > a else 0))
-                    out.append((p.astype(np.uint16).tobytes(), s.astype(np.uint32).tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.binary()), b.column(0).slice(lo, hi - lo).cast(pa.int32())], names=["places", "sents", "toxic"]
-                )
+                parts = [(place[a:z].astype(np.uint32).tobytes(), (sent[a:z] - f).astype(np.uint32).tobytes()) for a, z, f in zip(bounds[:-1], bounds[1:], first, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in parts], pa.binary()) for i in (0, 1)), pa.array(many.astype(np.int64)), b.column(0).slice(lo, hi - lo)], names=["places", "sents", "n", "toxic"])
 
-    got = rows.mapInArrow(run, "places binary, sents binary, toxic int").collect()
-    bags = [(np.frombuffer(bytes(r[0]), np.uint16).astype(np.int64), np.frombuffer(bytes(r[1]), np.uint32).astype(np.int64), int(r[2] > 0)) for r in got]
-    return fit(bags) if any(b[2] for b in bags) and any(len(b[0]) for b in bags) else None
+    got = rows.mapInArrow(run, "places binary, sents binary, n long, toxic int").collect()
+    return fit([(np.frombuffer(bytes(r[0]), np.uint32).astype(np.int64), np.frombuffer(bytes(r[1]), np.uint32).astype(np.int64), r[2], int(r[3] > 0)) for r in got])
 
 
 _OUT = "score double, worst_start long, worst_score double, n_sentences long"
@@ -152,12 +196,11 @@ def score(docs: DataFrame, model) -> DataFrame:
         for b in batches:
             parts = []
             for lo, hi, buf, offs in chunks(b.column(1)):
-                place, sent, first, doc = sentences(buf, offs)
+                p, s, first, doc = sentences(buf, offs)
                 n = hi - lo
                 if w is None or not len(first):
                     parts.append((np.zeros(n), np.full(n, -1), np.zeros(n), np.bincount(doc, minlength=n)))
                     continue
-                p, s = _distinct_pairs(place, sent)
                 z = np.bincount(s, weights=w[p], minlength=len(first)) + bias
                 bag = -np.expm1(np.bincount(doc, weights=-np.logaddexp(0, z), minlength=n))
                 order = np.lexsort((-np.arange(len(z)), z, doc))
