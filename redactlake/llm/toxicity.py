@@ -52,8 +52,8 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return np.where(_EDGE[low], np.uint8(32), low)
 
 
-def sentences(buf: np.ndarray, offs: np.ndarray):
-    """(feature, sentence) pairs, a feature once a sentence, and the first byte and text of each sentence; a sentence has words."""
+def sentences(buf: np.ndarray, offs: np.ndarray, keep: np.ndarray | None = None):
+    """(feature, sentence) pairs of the features to keep, one once a sentence, and the first byte and text of each sentence; a sentence has words."""
     flat = lowered(buf)
     start, size, h, wb = words(flat, offs)
     ends = np.flatnonzero(_END[buf])
@@ -63,16 +63,22 @@ def sentences(buf: np.ndarray, offs: np.ndarray):
     new = np.ones(len(start), dtype=bool)
     new[1:] = (nth[1:] != nth[:-1]) | (doc[1:] != doc[:-1])
     sent = np.cumsum(new) - 1
-    shift = U64(64 - BITS)
-    found, of = [h >> shift], [sent]
+    found, of = [], []
+
+    def add(hashes, own):
+        place = (hashes >> U64(64 - BITS)).astype(np.int64)
+        some = slice(None) if keep is None else keep[place]
+        found.append(place[some])
+        of.append(own[some])
+
+    add(h, sent)
     begun, flat = np.zeros(len(start), U64), np.append(flat, np.zeros(max(BEGINNINGS), np.uint8))
     for j in range(max(BEGINNINGS)):
         begun += BYTE[flat[start + j]] * POW[j]
         if j + 1 in BEGINNINGS:
             longer = size > j + 1
-            found.append(mix(begun[longer] + U64(j + 1)) >> shift)
-            of.append(sent[longer])
-    key = np.unique((np.concatenate(of) << BITS) + np.concatenate(found).astype(np.int64))
+            add(mix(begun[longer] + U64(j + 1)), sent[longer])
+    key = np.unique((np.concatenate(of) << BITS) + np.concatenate(found))
     return key & (DIMS - 1), key >> BITS, start[new], doc[new]
 
 
@@ -169,10 +175,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     def run(batches):
         for b in batches:
             for lo, hi, buf, offs in chunks(b.column(1)):
-                place, sent, _, doc = sentences(buf, offs)
+                place, sent, _, doc = sentences(buf, offs, keep)
                 many = np.bincount(doc, minlength=hi - lo)
                 first = np.cumsum(many) - many
-                place, sent = place[keep[place]], sent[keep[place]]
                 of = doc[sent]
                 bounds = np.searchsorted(of, np.arange(hi - lo + 1))
                 parts = [(place[a:z].astype(np.uint32).tobytes(), (sent[a:z] - f).astype(np.uint32).tobytes()) for a, z, f in zip(bounds[:-1], bounds[1:], first, strict=True)]
@@ -193,10 +198,11 @@ def score(docs: DataFrame, model) -> DataFrame:
 
     def run(batches):
         w = shared.value
+        used = None if w is None else w != 0
         for b in batches:
             parts = []
             for lo, hi, buf, offs in chunks(b.column(1)):
-                p, s, first, doc = sentences(buf, offs)
+                p, s, first, doc = sentences(buf, offs, used)
                 n = hi - lo
                 if w is None or not len(first):
                     parts.append((np.zeros(n), np.full(n, -1), np.zeros(n), np.bincount(doc, minlength=n)))
