@@ -101,26 +101,55 @@ def fnv1a(c: Column, seed: int = FNV_OFFSET) -> Column:
     return F.aggregate(chars, F.lit(seed).cast("long"), step)
 
 
+# Stand-ins that belong to nobody; the first two end in their check digits.
+STAND_INS = {
+    "aadhaar": "9999 0123 4563", "card": "4000 0012 3456 7899", "pan": "ABCDE1234F", "email": "alex.surrogate@safe-example.internal",
+    "name": "Alex Morgan", "phone": "+91 98765 43210", "secret": "••••••••••••", "other": "[CONFIDENTIAL SURROGATE]",
+}
+
+
+def in_fours(c: Column) -> Column:
+    return F.regexp_replace(c, "(.{4})(?=.)", "$1 ")
+
+
+def stand_in(kind: str) -> Column:
+    return F.lit(STAND_INS[kind])
+
+
+def _hash_digits(d: Column, first: Column, last: Column, places: int, step: int) -> Column:
+    """Digits first to last of a keyed number: each is a decimal place of the hash, shifted by its position."""
+    one = lambda h, i: ((F.floor(h / F.pow(F.lit(10.0), i % places)) + i * step) % 10).cast("string")
+    return let(fnv1a(d), lambda h: F.array_join(F.transform(F.sequence(first, last), lambda i: one(h, i)), ""))
+
+
 def card_surrogate(c: Column) -> Column:
-    """Keeps the first four digits, takes eleven from a hash of all, and closes with the Luhn digit."""
+    """Keeps the first four digits and the length, takes the rest from a hash of all, and closes with the Luhn digit."""
 
     def of(d):
-        h = F.lpad((fnv1a(d) * 1000003 + fnv1a(d, 0x9747B28C)).cast("string"), 15, "0")
-        body = F.concat(F.substring(d, 1, 4), F.substring(h, 5, 11))
-        full = let(body, lambda b: F.concat(b, luhn_check_digit(b).cast("string")))
-        fours = let(full, lambda x: F.concat_ws(" ", *(F.substring(x, i, 4) for i in (1, 5, 9, 13))))
-        return F.when(F.length(d) >= 13, fours)
+        body = F.concat(F.substring(d, 1, 4), _hash_digits(d, F.lit(0), F.length(d) - 6, 9, 3))
+        return F.when(F.length(d) >= 13, in_fours(let(body, lambda b: F.concat(b, luhn_check_digit(b).cast("string")))))
 
-    return F.coalesce(let(digits_of(c), of), c)
+    return F.coalesce(let(digits_of(c), of), stand_in("card"))
 
 
 def aadhaar_surrogate(c: Column) -> Column:
     """99, nine digits of a hash, and the Verhoeff digit, in fours."""
 
     def of(d):
-        body = F.concat(F.lit("99"), F.substring(F.lpad((fnv1a(d) * 1000003).cast("string"), 12, "0"), -9, 9))
-        full = let(body, lambda b: F.concat(b, verhoeff_check_digit(b).cast("string")))
-        fours = let(full, lambda x: F.concat_ws(" ", *(F.substring(x, i, 4) for i in (1, 5, 9))))
-        return F.when(F.length(d) == 12, fours)
-
-    return F.coalesce(let(digits_of(c), of), c)
+        body = F.concat(F.lit("99"), _hash_digits(d, F.lit(2), F.lit(10), 8, 7))
+        return F.when(F.length(d) == 12, in_fours(let(body, lambda b: F.concat(b, verhoeff_check_digit(b).cast("string")))))
+
+    return F.coalesce(let(digits_of(c), of), stand_in("aadhaar"))
+
+
+def surrogate_for(kind: Column, value: Column) -> Column:
+    """The stand-in of a kind, by the first name that the kind holds; cards and identity numbers follow a value if there is one."""
+    k = F.lower(kind)
+    holds = lambda *names: k.rlike("|".join(names))
+    there = F.coalesce(F.length(value) > 0, F.lit(False))
+    return (
+        F.when(holds("aadhaar", "id_number", "national_id"), F.when(there, aadhaar_surrogate(value)).otherwise(stand_in("aadhaar")))
+        .when(holds("card", "credit", "cvv"), F.when(there, card_surrogate(value)).otherwise(stand_in("card")))
+        .when(holds("pan"), stand_in("pan")).when(holds("email"), stand_in("email")).when(holds("phone", "mobile"), stand_in("phone"))
+        .when(holds("name", "person"), stand_in("name")).when(holds("pass", "token", "cred"), stand_in("secret")).otherwise(stand_in("other"))
+    )

@@ -45,3 +45,28 @@ def spans(pattern: str, group: int, source: str) -> str:
   SELECT id, n, wholes[n] AS whole, vals[n] AS value, (list_sum(list_transform(parts[1:n], lambda x: length(x))) + coalesce(list_sum(list_transform(wholes[1:n-1], lambda x: length(x))), 0))::BIGINT AS before
   FROM (SELECT id, wholes, vals, parts, unnest(range(1, len(wholes) + 1)) AS n FROM (
     SELECT id, regexp_extract_all(text, {p}) AS wholes, regexp_extract_all(text, {p}, {group}) AS vals, string_split_regex(text, {p}) AS parts FROM {source})))"""
+
+
+def fnv(x: str, seed: int = 0x811C9DC5) -> str:
+    return f"list_reduce(list_prepend({seed}::BIGINT, list_transform(range(length({x})), lambda i: ord(substr({x}, i + 1, 1))::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295)"
+
+
+def in_fours(x: str) -> str:
+    return f"rtrim(regexp_replace({x}, '(.{{4}})', '\\1 ', 'g'))"
+
+
+def hash_digits(h: str, first: str, stop: str, places: int, step: int) -> str:
+    return f"array_to_string(list_transform(range({first}, {stop}), lambda i: (({h} // pow(10, i % {places})::BIGINT + i * {step}) % 10)::VARCHAR), '')"
+
+
+def encoded(x: str) -> str:
+    """Percent encoding that leaves - _ . ! ~ * ' ( )."""
+    out = f"url_encode({x})"
+    for code, char in (("%21", "!"), ("%2A", "*"), ("%27", "''"), ("%28", "("), ("%29", ")")):
+        out = f"replace({out}, '{code}', '{char}')"
+    return out
+
+
+def case(pairs, otherwise: str = "NULL") -> str:
+    """CASE of (condition, value) pairs."""
+    return "(CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in pairs) + f" ELSE {otherwise} END)"

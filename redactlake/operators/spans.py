@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import checksums as C
 from ..functions import patterns as P
@@ -17,21 +16,30 @@ from ..functions import patterns as P
 SPAN = "struct<start: int, value: string>"
 
 
+def none(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
 def matches(text: Column, source: str, group: int = 0) -> Column:
-    """array<struct<start, value>> of all matches (of a group of them)."""
+    """array<struct<start, value>> of all matches (of a group of them), in a time linear in the text.
+
+    Texts that fail the pattern's gate are passed over. Matches and the gaps between
+    them are zipped once and folded with a running place.
+    """
     p = P.java(source)
-    whole, own = F.regexp_extract_all(text, F.lit(p), F.lit(0)), F.regexp_extract_all(text, F.lit(p), F.lit(group))
-    parts = F.split(text, p, -1)
-    zero = F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    whole = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+    own = F.regexp_extract_all(text, F.lit(p), F.lit(group)) if group else whole
+    rows = F.arrays_zip(whole.alias("w"), own.alias("v"), F.split(text, p, -1).alias("gap"))
+    zero = F.struct(F.lit(0).alias("pos"), none(SPAN).alias("out"))
 
-    def step(acc, i):
-        w, v = F.get(whole, i), F.get(own, i)
-        at = acc["pos"] + F.length(F.get(parts, i))
-        start = at + F.position(v, w) - 1 if group else at
-        span = F.struct(start.cast("int").alias("start"), v.alias("value"))
-        return F.struct((at + F.length(w)).cast("int").alias("pos"), F.array_append(acc["out"], span).alias("out"))
+    def step(acc, s):
+        at = acc["pos"] + F.length(s["gap"])
+        start = at + F.position(s["v"], s["w"]) - 1 if group else at
+        span = F.struct(start.cast("int").alias("start"), s["v"].alias("value"))
+        # the last gap has no match behind it
+        return F.struct((at + F.coalesce(F.length(s["w"]), F.lit(0))).cast("int").alias("pos"), F.when(s["w"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], span)).alias("out"))
 
-    return F.when(text.rlike(p), F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(P.gate(source)), F.aggregate(rows, zero, step, lambda acc: acc["out"])).otherwise(none(SPAN))
 
 
 def looks_like_secret(v: Column) -> Column:
@@ -61,7 +69,7 @@ def passing(spans: Column, check) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All spans of all shapes, in the order in which shapes are tried; none in texts under six characters."""
+    """All spans of all shapes, in the order in which shapes are tried; null for texts under six characters."""
     out = [
         _tagged(matches(text, "(?i)" + P.EMAIL), "email", "Email address", 0),
         _tagged(matches(text, P.PHONE), "phone", "Phone number", 1),
@@ -77,31 +85,23 @@ def candidates(text: Column) -> Column:
         out.append(_tagged(matches(text, source), "api_key", label, 20 + i))
     out.append(cued_secrets(text, 40))
     out.append(_tagged(matches(text, P.CUE_NAME, 1), "name_text", "Person name", 50))
-    every = F.concat(*out)
-    return F.when(F.length(text) >= 6, every).otherwise(F.slice(every, 1, 0))
-
-
-def uncontained(spans: DataFrame, key: str) -> DataFrame:
-    """Spans not inside one that sorts before them (start, longest first, order); partial overlaps stay."""
-    before = Window.partitionBy(key).orderBy("start", F.desc("end"), "emit_ord", "value").rowsBetween(Window.unboundedPreceding, -1)
-    return spans.withColumn("__reach", F.max("end").over(before)).filter(F.col("__reach").isNull() | (F.col("end") > F.col("__reach"))).drop("__reach")
+    return F.when(F.length(text) >= 6, F.concat(*out))
 
 
 def match_pii(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """key, emit_ord, kind, label, start, end, value of the spans that stay."""
-    return uncontained(texts.select(key, F.inline(candidates(F.col(text)))), key)
+    """key, emit_ord, kind, label, start, end, value of the spans that stay; a row's spans are resolved within it."""
+    return texts.select(key, F.inline(resolved(F.col(text))))
 
 
 def resolved(text: Column) -> Column:
-    """The spans that stay, as an array in order: for splicing within a row."""
-    ordered = F.array_sort(candidates(text), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["emit_ord"] - b["emit_ord"]))
-    kept = F.aggregate(
-        ordered,
-        F.struct(F.lit(-1).alias("reach"), F.slice(ordered, 1, 0).alias("out")),
+    """The spans not inside one that sorts before them (start, longest first, order), in that order; partial overlaps stay."""
+    found = F.array_sort(candidates(text), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["emit_ord"] - b["emit_ord"]))
+    zero = F.struct(F.lit(-1).alias("reach"), none("struct<emit_ord: int, kind: string, label: string, start: int, end: int, value: string>").alias("out"))
+    return F.aggregate(
+        found, zero,
         lambda acc, s: F.when(s["end"] > acc["reach"], F.struct(s["end"].alias("reach"), F.array_append(acc["out"], s).alias("out"))).otherwise(acc),
         lambda acc: acc["out"],
     )
-    return kept
 
 
 def spliced(text: Column, spans: Column, write) -> Column:

@@ -33,10 +33,6 @@ scalar("mth46_skin_colour", "SELECT l_orderkey * 10 + l_linenumber AS id, l_part
     (F.col("r") > 95) & (F.col("g") > 40) & (F.col("b") > 20) & (F.greatest("r", "g", "b") - F.least("r", "g", "b") > 15) & (F.abs(F.col("r") - F.col("g")) > 15) & (F.col("r") > F.col("g")) & (F.col("r") > F.col("b")),
     "r > 95 AND g > 40 AND b > 20 AND greatest(r, g, b) - least(r, g, b) > 15 AND abs(r - g) > 15 AND r > g AND r > b"))
 
-def tier(kind):
-    return F.when(kind.isin("click", "view"), "skip").when(kind == "purchase", "opaque").when(kind == "error", "blur").otherwise("surrogate")
-
-
 # regions (from parts) and boxes (from lines) of one page: an order is a page
 _REGIONS = "SELECT l_orderkey AS page, l_linenumber AS n, CAST(l_partkey % 97 AS DOUBLE) AS x, CAST(l_suppkey % 53 AS DOUBLE) AS y, CAST(l_partkey % 41 + 5 AS DOUBLE) AS w, CAST(l_orderkey % 37 + 5 AS DOUBLE) AS h, l_linenumber % 2 AS region, l_quantity AS conf FROM {lineitem}"
 
@@ -130,8 +126,6 @@ _REASONS_SQL = "list_filter([CASE WHEN NOT faces THEN 'no face scan' END, CASE W
 scalar("agg15_protection", _FACTS, reasons=(F.array_join(_REASONS, "; "), f"array_to_string({_REASONS_SQL}, '; ')"))
 scalar("agg18_send_decision", _FACTS, allowed=(F.size(_REASONS) == 0, f"len({_REASONS_SQL}) = 0"), reasons=(F.array_join(F.array_distinct(_REASONS), "; "), f"array_to_string({_REASONS_SQL}, '; ')"))
 scalar("agg19_escalation", _FACTS, escalate=((F.col("residual") > 1) | ~F.col("faces"), "residual > 1 OR NOT faces"))
-query("agg30_with_tier", lambda s, d: X.frame(s, d, _ALERTS).select("event_id", tier(F.col("pii_type")).alias("tier")), f"SELECT event_id, CASE WHEN pii_type IN ('click', 'view') THEN 'skip' WHEN pii_type = 'purchase' THEN 'opaque' WHEN pii_type = 'error' THEN 'blur' ELSE 'surrogate' END AS tier FROM ({X.plain(_ALERTS)})")
-query("agg10_tier_sets", lambda s, d: X.frame(s, d, _ALERTS).groupBy(tier(F.col("pii_type")).alias("tier")).agg(F.array_join(F.array_sort(F.collect_set("pii_type")), ",").alias("kinds")), f"SELECT CASE WHEN pii_type IN ('click', 'view') THEN 'skip' WHEN pii_type = 'purchase' THEN 'opaque' WHEN pii_type = 'error' THEN 'blur' ELSE 'surrogate' END AS tier, array_to_string(list_sort(list(DISTINCT pii_type)), ',') AS kinds FROM ({X.plain(_ALERTS)}) GROUP BY 1")
 
 
 _WAITS = "SELECT user_id, count(*) AS turns, sum(CASE WHEN value > 80 THEN 1 ELSE 0 END) AS slow, max(value) AS longest FROM {events} GROUP BY user_id"

@@ -44,23 +44,25 @@ scalar("mth48_seconds_label", X.VALUES, shown=(
 ))
 scalar("mth24_round_confidence", X.VALUES, rounded=(F.floor((F.col("id") % 997) / 997 * 1000 + 0.5) / 1000, "floor((id % 997) / 997 * 1000 + 0.5) / 1000"))
 
-# constant and keyed surrogates: values that pass the checksums and belong to nobody
-SURROGATES = {"aadhaar": "9999 0000 0019", "card": "4000 0012 3456 7899", "pan": "ABCPX0000X", "email": "person@example.com", "name": "Person Name", "phone": "+91 90000 00000"}
-
-
-_DG = D.digits("text")
+# surrogates: values that pass the checksums and belong to nobody
 _NUMBERS = X.plain(X.NUMBERS)
-query("mth09_card_surrogate", lambda s, d: X.frame(s, d, X.NUMBERS).select("id", C.card_surrogate(T).alias("surrogate")), f"""
-WITH a AS (SELECT id, text, {_DG} AS d FROM ({_NUMBERS})), b AS (
-  SELECT id, text, d, lpad((({_FNV.format(seed=C.FNV_OFFSET, x="d")}) * 1000003 + ({_FNV.format(seed=0x9747B28C, x="d")}))::VARCHAR, 15, '0') AS h FROM a
-), c AS (SELECT id, text, d, substr(d, 1, 4) || substr(h, 5, 11) AS body FROM b
-), f AS (SELECT id, text, d, body || ((10 - {D.luhn_sum("body", 0)} % 10) % 10)::VARCHAR AS x FROM c)
-SELECT id, CASE WHEN length(d) >= 13 THEN substr(x, 1, 4) || ' ' || substr(x, 5, 4) || ' ' || substr(x, 9, 4) || ' ' || substr(x, 13, 4) ELSE text END AS surrogate FROM f""")
-query("mth10_aadhaar_surrogate", lambda s, d: X.frame(s, d, X.NUMBERS).select("id", C.aadhaar_surrogate(T).alias("surrogate")), f"""
-WITH a AS (SELECT id, text, {_DG} AS d FROM ({_NUMBERS})), c AS (
-  SELECT id, text, d, '99' || right(lpad((({_FNV.format(seed=C.FNV_OFFSET, x="d")}) * 1000003)::VARCHAR, 12, '0'), 9) AS body FROM a
-), f AS (SELECT id, text, d, body || substr('0432156789', {D.verhoeff("body", 1)} + 1, 1) AS x FROM c)
-SELECT id, CASE WHEN length(d) = 12 THEN substr(x, 1, 4) || ' ' || substr(x, 5, 4) || ' ' || substr(x, 9, 4) ELSE text END AS surrogate FROM f""")
+_HASHED = f"WITH a AS (SELECT *, {D.digits('text')} AS d FROM ({{fixture}})), b AS (SELECT *, {D.fnv('d')} AS h FROM a)"
+_STAND = {k: f"'{v}'" for k, v in _checksums.STAND_INS.items()}
+_CARD_BODY = f"substr(d, 1, 4) || {D.hash_digits('h', '0', 'length(d) - 5', 9, 3)}"
+_AADHAAR_BODY = f"'99' || {D.hash_digits('h', '2', '11', 8, 7)}"
+_MADE = f"SELECT *, {_CARD_BODY} AS cb, {_AADHAAR_BODY} AS ab FROM b"
+_CARD_SQL = f"CASE WHEN length(d) >= 13 THEN {D.in_fours('cb || ((10 - ' + D.luhn_sum('cb', 0) + ' % 10) % 10)::VARCHAR')} ELSE {_STAND['card']} END"
+_AADHAAR_SQL = f"CASE WHEN length(d) = 12 THEN {D.in_fours('ab || substr(' + chr(39) + '0432156789' + chr(39) + ', ' + D.verhoeff('ab', 1) + ' + 1, 1)')} ELSE {_STAND['aadhaar']} END"
+query("mth09_card_surrogate", lambda s, d: X.frame(s, d, X.NUMBERS).select("id", C.card_surrogate(T).alias("surrogate")), _HASHED.format(fixture=_NUMBERS) + f" SELECT id, {_CARD_SQL} AS surrogate FROM ({_MADE})")
+query("mth10_aadhaar_surrogate", lambda s, d: X.frame(s, d, X.NUMBERS).select("id", C.aadhaar_surrogate(T).alias("surrogate")), _HASHED.format(fixture=_NUMBERS) + f" SELECT id, {_AADHAAR_SQL} AS surrogate FROM ({_MADE})")
+_NAMED = "SELECT o_orderkey AS id, CASE o_orderkey % 14 WHEN 0 THEN 'aadhaar' WHEN 1 THEN 'id_number' WHEN 2 THEN 'Credit_Card' WHEN 3 THEN 'pan_card' WHEN 4 THEN 'company' WHEN 5 THEN 'email' WHEN 6 THEN 'mobile' WHEN 7 THEN 'person' WHEN 8 THEN 'passport' WHEN 9 THEN 'api_key' WHEN 10 THEN 'cvv' WHEN 11 THEN 'token' WHEN 12 THEN 'otp' ELSE 'name_text' END AS kind, CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN CAST(4000000000000000 + o_orderkey * 7919 AS STRING) ELSE CAST(200000000000 + o_orderkey * 104729 AS STRING) END AS text FROM {orders}"
+_HOLDS = lambda *names: f"regexp_matches(lower(kind), '{'|'.join(names)}')"
+query("mth11_surrogate_of_kind", lambda s, d: X.frame(s, d, _NAMED).select("id", "kind", C.surrogate_for(F.col("kind"), T).alias("surrogate")), _HASHED.format(fixture=f"SELECT id, kind, coalesce(text, '') AS text FROM ({X.plain(_NAMED)})") + " SELECT id, kind, " + D.case([
+    (_HOLDS("aadhaar", "id_number", "national_id"), f"CASE WHEN text <> '' THEN {_AADHAAR_SQL} ELSE {_STAND['aadhaar']} END"), (_HOLDS("card", "credit", "cvv"), f"CASE WHEN text <> '' THEN {_CARD_SQL} ELSE {_STAND['card']} END"),
+    (_HOLDS("pan"), _STAND["pan"]), (_HOLDS("email"), _STAND["email"]), (_HOLDS("phone", "mobile"), _STAND["phone"]), (_HOLDS("name", "person"), _STAND["name"]), (_HOLDS("pass", "token", "cred"), _STAND["secret"]),
+], _STAND["other"]) + f" AS surrogate FROM ({_MADE})")
+for _id, _kind in (("mth12", "aadhaar"), ("mth13", "card"), ("mth14", "pan"), ("mth15", "email"), ("mth16", "name"), ("mth17", "phone")):
+    query(f"{_id}_{_kind}_stand_in", lambda s, d, k=_kind: s.range(1).select(C.stand_in(k).alias("surrogate")), f"SELECT {_STAND[_kind]} AS surrogate")
 
 scalar("str12_mask_sample", X.VALUES, masked=(M.mask_sample(T), """CASE WHEN length(trim(text)) <= 2 THEN '••'
   WHEN strpos(trim(text), '@') > 1 AND contains(trim(text), '.') AND length(trim(text)) > strpos(trim(text), '@') + 1 THEN left(split_part(trim(text), '@', 1), 2) || '•••@' || substr(trim(text), strpos(trim(text), '@') + 1)
