@@ -132,3 +132,49 @@ def gate(source: str) -> str:
     if source == CUE_NAME:
         return r":\s*[A-Z][a-z]"
     return source.replace(r"\b", "").replace(r"(?<!\d)", "").replace(r"(?!\d)", "")
+
+
+# Model labels that name personal data, and the names they are shown by.
+PII_LABEL = (
+    "person|people|human|name|org|company|employer|location|city|address|street|country|state|province|zip|postal|email|mail|phone|tel|mobile|contact|account|credit|card|cvv|ssn|social|"
+    "aadhaar|adhaar|uidai|pan|passport|driver|license|vehicle|voter|identity|dob|birth|username|user|password|secret|api|bank|routing|national|ip address|url|gender|age|occupation|profession|medical|health"
+)
+LABEL_NAMES = {
+    "PER": "Person name", "PERSON": "Person name", "PERSON_NAME": "Person name", "NAME": "Person name", "ORG": "Organization", "ORGANIZATION": "Organization", "ORGANISATION": "Organization", "COMPANY": "Organization",
+    "LOC": "Location", "LOCATION": "Location", "CITY": "Location", "ADDRESS": "Location", "EMAIL": "Email address", "EMAIL_ADDRESS": "Email address", "PHONE": "Phone number", "PHONE_NUMBER": "Phone number",
+    "TELEPHONE": "Phone number", "MOBILE": "Phone number", "SSN": "SSN", "AADHAAR": "Aadhaar number", "PAN": "PAN card", "PASSPORT": "Passport number", "CREDIT_CARD": "Card number", "ACCOUNT_NUMBER": "Account number",
+    "DOB": "Date of birth", "USERNAME": "Username", "PASSWORD": "Password", "IP_ADDRESS": "IP address",
+}
+#: Labels of fields by what they hold.
+NAME_FIELDS = [
+    (r"\b(name|full\s*name|your\s*name|first\s*name|last\s*name|sender|from|recipient|to)\b", "Name field", "person"),
+    (r"\b(company|organization|business|firm|vendor|supplier|client|employer)\b", "Organization field", "organization"),
+    (r"\b(card\s*holder|account\s*holder|beneficiary)\b", "Account holder field", "person"),
+]
+ADDRESS_FIELDS = [(r"\b(address|street|city|state|zip|postal|country|billing|shipping|location)\b", "Address field"), (r"\b(landmark|area|district|pin\s*code)\b", "Indian address field")]
+PHONE_FIELD, EMAIL_FIELD = r"\b(phone|mobile|tel|contact|cell|fax)\b", r"\b(email|e-mail|mail)\b"
+MONEY_FIELDS = [
+    (r"\b(account|iban|routing|sort\s*code|bic|swift)\b", "Bank account field"), (r"\b(card|credit|debit|visa|mastercard|amex)\b", "Card field"),
+    (r"\b(expiry|exp|valid\s*thru|cvc|cvv|cvv2)\b", "Card detail field"),
+]
+NAMED_IN_TEXT = r"(?iu)\b((?:from|to|sender|recipient|name|company): *|addressed to |sent by )([\p{L}][\p{L}\p{M}]+(?: +[\p{L}][\p{L}\p{M}]+){1,3})"
+#: Glyphs that readers of images take for a digit or a letter.
+AS_DIGIT = ("OoQDIli|!LZzEASsGbTYBgq", "00001111112234556677899")
+AS_LETTER = ("0123456789|!", "OIZEASGTBGII")
+TAX_HOLDERS = "[PCHFATBLJG]"
+#: Digits that a cue names, without a checksum.
+CUED_AADHAAR = r"(?i)\b(?:aadhaar|aadhar|uidai)\b[^\d\n]{0,20}?(\d[\d\s-]{10,16}\d)"
+CUED_CARD = r"(?i)\b(?:credit\s+card|debit\s+card|card|card\s+number)\b[^\d\n]{0,20}?(\d[\d\s-]{11,24}\d)"
+#: What comes before a person's name in a task, and words that begin none.
+NAME_RUN = r"([\p{L}][\p{L}\p{M}'\x{2019}-]*(?:\s+[\p{L}][\p{L}\p{M}'\x{2019}-]*)+)"
+NAME_CONTEXT = (
+    r"(?iu)(?:\b(?:addressed\s+to|sent\s+by|recipient|sender)\s+"
+    r"|\b(?:e-?mails?|mails?|send|sends|sent|sending|forward|forwards|forwarded|reply|replies|replying|message|messages|dm|dms|text|texts|whatsapp|invite|invites|invitation)\b[^\n.!?]{0,24}?\b(?:to|for)\s+"
+    r"|\b(?:e-?mails?|message|messages|dm|text|texts|whatsapp|call|calls)\s+"
+    r"|\b(?:name|company|business|firm|organization|vendor|supplier|client)\s*:\s*)" + NAME_RUN
+)
+NO_NAME = (
+    "a", "an", "the", "this", "that", "these", "those", "my", "your", "our", "his", "her", "their", "its", "me", "us", "them", "him", "it", "i", "and", "or", "but", "so", "if", "then", "with", "without",
+    "for", "from", "to", "of", "in", "on", "at", "by", "about", "into", "onto", "over", "please", "is", "are", "was", "were", "be", "do", "does", "did",
+)
+NARRATION = [r"\b(?:last|next|final)\s+(?:tool|function)\s+call\b", r"\bno\s+(?:response|reply|answer)\s+yet\b", r"\b(?:last|next)\s+turn\b"]

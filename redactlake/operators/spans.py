@@ -93,9 +93,10 @@ def match_pii(texts: DataFrame, key: str = "id", text: str = "text") -> DataFram
     return texts.select(key, F.inline(resolved(F.col(text))))
 
 
-def resolved(text: Column) -> Column:
-    """The spans not inside one that sorts before them (start, longest first, order), in that order; partial overlaps stay."""
-    found = F.array_sort(candidates(text), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["emit_ord"] - b["emit_ord"]))
+def resolved(text: Column, more: Column | None = None) -> Column:
+    """The spans (and more of them) not inside one that sorts before them (start, longest first, order), in that order; partial overlaps stay."""
+    every = candidates(text) if more is None else F.concat(candidates(text), more)
+    found = F.array_sort(every, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], b["end"] - a["end"]).otherwise(a["emit_ord"] - b["emit_ord"]))
     zero = F.struct(F.lit(-1).alias("reach"), none("struct<emit_ord: int, kind: string, label: string, start: int, end: int, value: string>").alias("out"))
     return F.aggregate(
         found, zero,
@@ -104,6 +105,22 @@ def resolved(text: Column) -> Column:
     )
 
 
+def in_prompts(text: Column) -> Column:
+    """What a user's own text has besides: bare digits that pass a checksum, and digits that a cue names whatever their checksum."""
+    count = lambda v: F.length(C.digits_of(v))
+    return F.concat(
+        _tagged(passing(matches(text, r"\b\d{13,19}\b"), C.is_card), "credential", "Card number", 60),
+        _tagged(passing(matches(text, r"\b\d{12}\b"), C.is_aadhaar), "id_text", "Aadhaar number", 61),
+        _tagged(passing(matches(text, P.CUED_AADHAAR, 1), lambda v: count(v) == 12), "id_text", "Aadhaar number", 62),
+        _tagged(passing(matches(text, P.CUED_CARD, 1), lambda v: count(v).between(13, 19)), "credential", "Card number", 63),
+    )
+
+
+def match_prompts(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """match_pii, and in_prompts."""
+    return texts.select(key, F.inline(resolved(F.col(text), in_prompts(F.col(text)))))
+
+
 def spliced(text: Column, spans: Column, write) -> Column:
     """text with every span replaced by write(span), left to right; an overlap goes on at the later end."""
     zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))

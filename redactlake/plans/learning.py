@@ -27,10 +27,14 @@ query("lrn01_keep_newest", lambda s, d: runs(s, d).orderBy(F.desc("day"), "id").
 query("top13_recent_runs", lambda s, d: runs(s, d).orderBy(F.desc("day"), "id").limit(10).select("id", "day"), f"SELECT id, day FROM ({_R}) ORDER BY day DESC, id LIMIT 10")
 query("top14_runs_of_domain", lambda s, d: runs(s, d).filter("domain = 's3.example'").select("id", "day"), f"SELECT id, day FROM ({_R}) WHERE domain = 's3.example'")
 query("top15_runs_of_page_type", lambda s, d: runs(s, d).filter("page_type = 'form'").select("id", "day"), f"SELECT id, day FROM ({_R}) WHERE page_type = 'form'")
-query("lrn02_update_outcome", lambda s, d: runs(s, d).select("id", F.when(F.col("id") % 10 == 0, 1).otherwise(F.col("success")).alias("success")), f"SELECT id, CASE WHEN id % 10 = 0 THEN 1 ELSE success END AS success FROM ({_R})")
+_UPDATES = "SELECT DISTINCT event_id AS id, CASE event_id % 2 WHEN 0 THEN 1 ELSE 0 END AS outcome FROM {events} WHERE event_id % 3 = 0"
+query("lrn02_update_outcome", lambda s, d: runs(s, d).join(X.frame(s, d, _UPDATES), "id", "left").select("id", F.coalesce("outcome", "success").alias("success"), F.col("outcome").isNotNull().alias("changed")), f"SELECT r.id, coalesce(u.outcome, r.success) AS success, u.id IS NOT NULL AS changed FROM ({_R}) r LEFT JOIN ({X.plain(_UPDATES)}) u ON u.id = r.id")
 query("src15_sessions", lambda s, d: runs(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day")))).filter("rn <= 5").select("user_id", "day", "rn"), f"SELECT user_id, day, rn FROM (SELECT user_id, day, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rn FROM ({_R})) WHERE rn <= 5")
-query("src24_read_sessions", lambda s, d: runs(s, d).select("user_id", "day", "domain"), f"SELECT user_id, day, domain FROM ({_R})")
-query("src25_delete_session", lambda s, d: runs(s, d).filter("id % 7 <> 0").select("id"), f"SELECT id FROM ({_R}) WHERE id % 7 <> 0")
+_KEPT = lambda s, d: runs(s, d).withColumn("rn", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("day"), "id"))).filter("rn <= 50")
+_KEPT_SQL = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY day DESC, id) AS rn FROM ({_R})) WHERE rn <= 50"
+query("src24_read_sessions", lambda s, d: _KEPT(s, d).select("user_id", "rn", "day", "domain"), f"SELECT user_id, rn, day, domain FROM ({_KEPT_SQL})")
+_GONE = "SELECT DISTINCT event_id AS id FROM {events} WHERE event_id % 7 = 0"
+query("src25_delete_session", lambda s, d: _KEPT(s, d).join(X.frame(s, d, _GONE), "id", "left_anti").select("id", "user_id"), f"SELECT id, user_id FROM ({_KEPT_SQL}) WHERE id NOT IN ({X.plain(_GONE)})")
 # lessons and paths: newest of each domain and overall, one of a text
 query("win09_lessons", lambda s, d: runs(s, d).groupBy("domain", "page_type").agg(F.max("day").alias("day"), F.max("id").alias("id")).withColumn("rn", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("day"), "id"))).filter("rn <= 5").orderBy(F.desc("day"), "id").limit(50).select("domain", "page_type", "day"),
       f"SELECT domain, page_type, day FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY day DESC, id) AS rn FROM (SELECT domain, page_type, max(day) AS day, max(id) AS id FROM ({_R}) GROUP BY domain, page_type)) WHERE rn <= 5 ORDER BY day DESC, id LIMIT 50")
@@ -49,12 +53,47 @@ query("agg11_suppression_keys", lambda s, d: X.frame(s, d, _RULES).filter("categ
 query("agg12_model_only", lambda s, d: X.frame(s, d, _RULES).groupBy("domain").agg(F.coalesce(F.bool_or((F.col("category") == "strategy") & (F.col("confidence") >= 0.5)), F.lit(False)).alias("model_only")), f"SELECT domain, coalesce(bool_or(category = 'strategy' AND confidence >= 0.5), false) AS model_only FROM ({_RU}) GROUP BY domain")
 _AGED = "floor(confidence * pow(0.995, age_days) * 1000 + 0.5) / 1000"
 query("mth23_rule_lifecycle", lambda s, d: X.frame(s, d, _RULES).select("id", "age_days", (F.floor(F.col("confidence") * F.pow(F.lit(0.995), "age_days") * 1000 + 0.5) / 1000).alias("confidence")).filter("confidence >= 0.1 AND NOT (age_days > 30 AND confidence < 0.6)"), f"SELECT * FROM (SELECT id, age_days, {_AGED} AS confidence FROM ({_RU})) WHERE confidence >= 0.1 AND NOT (age_days > 30 AND confidence < 0.6)")
-query("lrn11_apply_results", lambda s, d: X.frame(s, d, _RULES).select("id", F.when(F.col("id") % 7 == 0, F.least(F.lit(1.0), F.col("confidence") + 0.1)).when(F.col("id") % 11 == 0, F.col("confidence") - 0.2).otherwise(F.col("confidence")).cast("double").alias("confidence")).filter("confidence >= 0.1").orderBy(F.desc("confidence"), "id").limit(500), f"SELECT * FROM (SELECT id, (CASE WHEN id % 7 = 0 THEN least(1.0, confidence + 0.1) WHEN id % 11 = 0 THEN confidence - 0.2 ELSE confidence END)::DOUBLE AS confidence FROM ({_RU})) WHERE confidence >= 0.1 ORDER BY confidence DESC, id LIMIT 500")
-query("lrn08_repeated_success", lambda s, d: runs(s, d).withColumn("prior", F.coalesce(F.sum("success").over(Window.partitionBy("domain").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("success = 1 AND prior >= 1").select("id", "domain", "prior"), f"SELECT id, domain, prior FROM (SELECT *, coalesce(sum(success) OVER (PARTITION BY domain ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM ({_R})) WHERE success = 1 AND prior >= 1")
-query("lrn09_repeated_failure", lambda s, d: runs(s, d).withColumn("prior", F.coalesce(F.sum(F.col("actions") - F.col("good")).over(Window.partitionBy("domain").orderBy("day", "id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).filter("success = 0 AND actions > good AND prior >= 1").select("id", "domain"), f"SELECT id, domain FROM (SELECT *, coalesce(sum(actions - good) OVER (PARTITION BY domain ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM ({_R})) WHERE success = 0 AND actions > good AND prior >= 1")
-query("lrn10_site_pattern", lambda s, d: runs(s, d).withColumn("visits", F.count(F.lit(1)).over(Window.partitionBy("domain").orderBy("day", "id")) - 1).filter("visits >= 1 AND detections >= 3").select("id", "domain", "detections"), f"SELECT id, domain, detections FROM (SELECT *, count(*) OVER (PARTITION BY domain ORDER BY day, id) - 1 AS visits FROM ({_R})) WHERE visits >= 1 AND detections >= 3")
+_NEW = "SELECT s_suppkey AS n, CASE s_suppkey % 4 WHEN 0 THEN 'false_positive' WHEN 1 THEN 'missed' WHEN 2 THEN 'strategy' ELSE 'site' END AS category, CASE WHEN s_suppkey % 3 = 0 THEN 's' || CAST(s_suppkey % 12 AS STRING) || '.example' END AS domain, CASE WHEN s_suppkey % 2 = 0 THEN 'form' END AS page_type, 0.5 AS confidence FROM {supplier}"
+
+
+def applied(rules, new, confirmed, contradicted, most=500):
+    """Rules after a reflection: new ones that no rule equals in category, condition and domain come in, confirmed ones rise and are fresh, contradicted ones fall, the old fade, the weak go, and at most `most` stay."""
+    half = lambda c: F.floor(c * 1000 + 0.5) / 1000
+    alike = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("category", "domain", "page_type")]
+    once = new.groupBy("category", "domain", "page_type").agg(F.min("n").alias("n"), F.max("confidence").alias("confidence"))
+    fresh = once.alias("a").join(rules.alias("b"), alike[0] & alike[1] & alike[2], "left_anti").select((-F.col("n")).alias("id"), "category", "domain", "page_type", F.col("confidence").cast("double").alias("confidence"), F.lit(0).cast("bigint").alias("age_days"))
+    rows = rules.select("id", "category", "domain", "page_type", F.col("confidence").cast("double").alias("confidence"), F.col("age_days").cast("bigint").alias("age_days")).unionByName(fresh)
+    rows = rows.join(confirmed.select(F.col("id").alias("cid")), F.col("id") == F.col("cid"), "left").join(contradicted.select(F.col("id").alias("xid")), F.col("id") == F.col("xid"), "left")
+    up = F.when(F.col("cid").isNotNull(), half(F.least(F.lit(1.0), F.col("confidence") + 0.1))).otherwise(F.col("confidence"))
+    down = F.when(F.col("xid").isNotNull(), half(F.greatest(F.lit(0.0), up - 0.2))).otherwise(up)
+    rows = rows.withColumn("c", down).filter("xid IS NULL OR c >= 0.1").withColumn("age", F.when(F.col("cid").isNotNull(), F.lit(0)).otherwise(F.col("age_days")))
+    rows = rows.withColumn("c", half(F.col("c") * F.pow(F.lit(0.995), "age"))).filter("c >= 0.1 AND NOT (age > 30 AND c < 0.6)")
+    return rows.orderBy(F.desc("c"), "id").limit(most).select("id", F.col("c").alias("confidence"), "age")
+
+
+_YES, _NO = "SELECT DISTINCT s_suppkey * 3 AS id FROM {supplier}", "SELECT DISTINCT s_suppkey * 7 AS id FROM {supplier}"
+query("lrn11_apply_results", lambda s, d: applied(X.frame(s, d, _RULES), X.frame(s, d, _NEW), X.frame(s, d, _YES), X.frame(s, d, _NO)), f"""
+WITH r AS ({_RU}), n AS (SELECT category, domain, page_type, min(n) AS n, max(confidence)::DOUBLE AS confidence FROM ({X.plain(_NEW)}) GROUP BY ALL), f AS (SELECT -n AS id, confidence, 0 AS age_days FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.category = n.category AND r.domain IS NOT DISTINCT FROM n.domain AND r.page_type IS NOT DISTINCT FROM n.page_type)),
+e AS (SELECT id, confidence::DOUBLE AS confidence, age_days FROM r UNION ALL SELECT * FROM f), u AS (SELECT *, id IN ({X.plain(_YES)}) AS yes, id IN ({X.plain(_NO)}) AS no FROM e),
+a AS (SELECT *, CASE WHEN yes THEN floor(least(1.0, confidence + 0.1) * 1000 + 0.5) / 1000 ELSE confidence END AS c1 FROM u), b AS (SELECT *, CASE WHEN no THEN floor(greatest(0.0, c1 - 0.2) * 1000 + 0.5) / 1000 ELSE c1 END AS c2, CASE WHEN yes THEN 0 ELSE age_days END AS age FROM a)
+SELECT id, c AS confidence, age FROM (SELECT id, floor(c2 * pow(0.995, age) * 1000 + 0.5) / 1000 AS c, age FROM b WHERE NOT no OR c2 >= 0.1) WHERE c >= 0.1 AND NOT (age > 30 AND c < 0.6) ORDER BY c DESC, id LIMIT 500""")
+
+
+def before(rows, **sums):
+    """rows (domain, day, id) with sums over all earlier rows of the domain: days are summed first, so no task holds a domain's history."""
+    days = rows.groupBy("domain", "day").agg(*(F.sum(c).alias(n) for n, c in sums.items()))
+    w = Window.partitionBy("domain").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("domain", "day", *(F.coalesce(F.sum(n).over(w), F.lit(0)).alias(f"{n}_days") for n in sums))
+    own = Window.partitionBy("domain", "day").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    out = rows.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(f"{n}_day") for n, c in sums.items())).join(days, ["domain", "day"])
+    return out.withColumns({n: F.col(f"{n}_days") + F.col(f"{n}_day") for n in sums})
+
+
+query("lrn08_repeated_success", lambda s, d: before(runs(s, d), prior=F.col("success")).filter("success = 1 AND prior >= 1").select("id", "domain", "prior"), f"SELECT id, domain, prior FROM (SELECT *, coalesce(sum(success) OVER (PARTITION BY domain ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS prior FROM ({_R})) WHERE success = 1 AND prior >= 1")
+query("lrn09_repeated_failure", lambda s, d: before(runs(s, d), prior=F.col("actions") - F.col("good")).filter("success = 0 AND actions > good AND prior >= 1").select("id", "domain"), f"SELECT id, domain FROM (SELECT *, coalesce(sum(actions - good) OVER (PARTITION BY domain ORDER BY day, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior FROM ({_R})) WHERE success = 0 AND actions > good AND prior >= 1")
+query("lrn10_site_pattern", lambda s, d: before(runs(s, d), visits=F.lit(1)).filter("visits >= 1 AND detections >= 3").select("id", "domain", "detections"), f"SELECT id, domain, detections FROM (SELECT *, count(*) OVER (PARTITION BY domain ORDER BY day, id) - 1 AS visits FROM ({_R})) WHERE visits >= 1 AND detections >= 3")
 query("lrn07_strategy_rules", lambda s, d: runs(s, d).groupBy("page_type").agg((F.sum("good") / F.sum("actions")).alias("rate")).select("page_type", F.when(F.col("rate") < 0.7, "use_model").otherwise("use_rules").alias("strategy"), F.lit(0.6).alias("confidence")), f"SELECT page_type, CASE WHEN sum(good) / sum(actions) < 0.7 THEN 'use_model' ELSE 'use_rules' END AS strategy, 0.6 AS confidence FROM ({_R}) GROUP BY page_type")
 # wire log
 query("src13_record_wire", lambda s, d: X.frame(s, d, X.CONV).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "id", "text"))).filter("rn <= 24").select("id", "rn", F.concat(F.lit("w"), F.col("rn").cast("string")).alias("wire")), f"SELECT id, rn, 'w' || rn::VARCHAR AS wire FROM (SELECT id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, id, text) AS rn FROM ({X.plain(X.CONV)})) WHERE rn <= 24")
-query("src12_wire_sequence", lambda s, d: X.frame(s, d, X.CONV).agg(F.max(F.substring(F.concat(F.lit("w"), F.col("id").cast("string")), 2, 20).cast("long")).alias("sequence")), f"SELECT max(id)::BIGINT AS sequence FROM ({X.plain(X.CONV)})")
-scalar("fil21_keep_label", "SELECT event_id AS id, CASE event_id % 6 WHEN 0 THEN 'PER' WHEN 1 THEN 'ORG' WHEN 2 THEN 'LOC' WHEN 3 THEN 'EMAIL' WHEN 4 THEN 'MISC' ELSE 'phone_number' END AS text FROM {events}", keep=(F.col("text").isin("PER", "ORG", "LOC") | F.col("text").rlike("(?i)name|mail|phone|address|ssn|card"), "text IN ('PER', 'ORG', 'LOC') OR regexp_matches(text, '(?i)name|mail|phone|address|ssn|card')"))
+_WIRE = "SELECT conv_id, turn, id, CASE conv_id % 4 WHEN 0 THEN 'w' || CAST(turn * 3 AS STRING) WHEN 1 THEN 'x7' WHEN 2 THEN 'w' ELSE 'wnine' END AS wire FROM (" + X.CONV + ") c"
+query("src12_load_wire", lambda s, d: X.frame(s, d, _WIRE).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "id", "wire"))).filter("rn <= 24").groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.max(F.substring("wire", 2, 20).try_cast("long")), F.lit(0)).alias("sequence")), f"SELECT conv_id, count(*) AS kept, coalesce(max(try_cast(substr(wire, 2) AS BIGINT)), 0) AS sequence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, id, wire) AS rn FROM ({X.plain(_WIRE)})) WHERE rn <= 24 GROUP BY conv_id")

@@ -13,20 +13,20 @@ from . import fixtures as X
 F = DeferredModule(_functions)
 L = DeferredModule(_ledger)
 
-_ENTRIES = "SELECT user_id AS chain, event_type AS type, event_id, CAST(unix_millis(ts) AS BIGINT) AS at FROM {events}"
 _E_SQL = "SELECT user_id AS chain, event_type AS type, event_id, (epoch_us(ts) // 1000) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY (epoch_us(ts) // 1000), event_id) AS seq FROM events"
-_PRE = "'{\"at\":' || CAST(e.ms AS VARCHAR) || ',\"event\":' || CAST(e.event_id AS VARCHAR) || ',\"prev\":\"' || {0} || '\",\"scheme\":3,\"seq\":' || CAST(e.seq AS VARCHAR) || ',\"type\":\"' || e.type || '\"}'"
+_DATA = "'{\"event\":' || CAST(e.event_id AS VARCHAR) || '}'"
+_PRE = "'{\"data\":' || " + _DATA + " || ',\"prevHash\":\"' || {0} || '\",\"scheme\":3,\"seq\":' || CAST(e.seq AS VARCHAR) || ',\"timestamp\":' || CAST(e.ms AS VARCHAR) || ',\"type\":\"' || e.type || '\"}'"
 _CHAIN = f"""WITH RECURSIVE e AS ({_E_SQL}), c AS (
-  SELECT e.chain, e.seq, e.type, repeat('0', 64) AS prev, sha256({_PRE.replace('{0}', "repeat('0', 64)")}) AS hash FROM e WHERE seq = 1
-  UNION ALL SELECT e.chain, e.seq, e.type, c.hash, sha256({_PRE.replace('{0}', 'c.hash')}) FROM c JOIN e ON e.chain = c.chain AND e.seq = c.seq + 1)"""
+  SELECT e.chain, e.seq, e.type, e.ms, repeat('0', 64) AS prev, sha256({_PRE.replace('{0}', "repeat('0', 64)")}) AS hash FROM e WHERE seq = 1
+  UNION ALL SELECT e.chain, e.seq, e.type, e.ms, c.hash, sha256({_PRE.replace('{0}', 'c.hash')}) FROM c JOIN e ON e.chain = c.chain AND e.seq = c.seq + 1)"""
 
 
 def _entries(s, d):
-    return X.table(s, d, "events").select(F.col("user_id").alias("chain"), F.col("event_type").alias("type"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    return X.table(s, d, "events").select(F.col("user_id").alias("chain"), F.col("event_type").alias("type"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), F.concat(F.lit('{"event":'), F.col("event_id").cast("string"), F.lit("}")).alias("data"))
 
 
 query("led01_add_entries", lambda s, d: L.chained(_entries(s, d)).select("chain", "seq", "type", "prev", "hash"), _CHAIN + " SELECT chain, seq, type, prev, hash FROM c")
-query("led06_hash_content", lambda s, d: L.chained(_entries(s, d)).select("chain", "seq", F.sha2(L.preimage(F.col("at"), F.col("event_id"), F.col("prev"), F.col("seq"), F.col("type")), 256).alias("hash")), _CHAIN + " SELECT chain, seq, hash FROM c")
+query("led06_hash_content", lambda s, d: L.chained(_entries(s, d)).select("chain", "seq", F.sha2(L.preimage(F.col("at"), F.col("data"), F.col("prev"), F.col("seq"), F.col("type")), 256).alias("hash")), _CHAIN + " SELECT chain, seq, hash FROM c")
 
 
 def _tampered(s, d):
@@ -44,20 +44,53 @@ query("agg08_ledger_tally", lambda s, d: _entries(s, d).groupBy("chain").pivot("
 query("win03_session_entries", lambda s, d: L.numbered(_entries(s, d)).filter("seq >= 5").groupBy("chain").agg(F.count(F.lit(1)).alias("n")), f"SELECT chain, count(*) AS n FROM ({_E_SQL}) WHERE seq >= 5 GROUP BY chain")
 query("led04_summary", lambda s, d: L.numbered(_entries(s, d)).groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.max_by("type", "seq").alias("last_type")), f"SELECT chain, count(*) AS n, arg_max(type, seq) AS last_type FROM ({_E_SQL}) GROUP BY chain")
 query("led05_retained", lambda s, d: L.numbered(_entries(s, d)).withColumn("back", F.row_number().over(Window.partitionBy("chain").orderBy(F.desc("seq")))).filter("back <= 500").select("chain", "seq", "type"), f"SELECT chain, seq, type FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq DESC) AS back FROM ({_E_SQL})) WHERE back <= 500")
-for _i, (_name, _type) in enumerate((("led08_snapshot", "view"), ("led09_detections", "error"), ("led10_tokenization", "click"), ("led11_redaction", "purchase"))):
-    query(_name, lambda s, d, t=_type: _entries(s, d).filter(F.col("type") == t).groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.max("event_id").alias("last")), f"SELECT user_id AS chain, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events WHERE event_type = '{_type}' GROUP BY user_id")
+query("led03_certified_proof", lambda s, d: L.proofs(L.chained(_entries(s, d))).drop("entries"), f"""{_CHAIN}, k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq DESC) AS back FROM c) WHERE back <= 500), m AS (
+  SELECT chain, 0 AS level, list(hash ORDER BY seq) AS nodes FROM k GROUP BY chain
+  UNION ALL SELECT chain, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], nodes[i]))) FROM m WHERE len(nodes) > 1
+) SELECT k.chain, count(*) AS total, true AS chain_valid, true AS hashes_intact, min(seq) > 1 AS trimmed, min(seq) AS from_seq, max(seq) AS to_seq, any_value(r.root) AS root FROM k JOIN (SELECT chain, nodes[1] AS root FROM m WHERE len(nodes) = 1) r ON r.chain = k.chain GROUP BY k.chain""")
+query("src17_export_ledger", lambda s, d: L.proofs(L.chained(_entries(s, d))).select("chain", F.concat(F.lit('{"total":'), F.col("total").cast("string"), F.lit(',"entries":'), "entries", F.lit("}")).alias("json")),
+      f"""{_CHAIN} SELECT chain, '{{"total":' || count(*)::VARCHAR || ',"entries":[' || string_agg('{{"seq":' || seq::VARCHAR || ',"timestamp":' || ms::VARCHAR || ',"type":"' || type || '","hash":"' || hash || '"}}', ',' ORDER BY seq) || ']}}' AS json FROM (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY seq DESC) AS back FROM c) WHERE back <= 500 GROUP BY chain""")
+query("led07_legacy_hash", lambda s, d: L.chained(_entries(s, d)).select("chain", "seq", F.sha2(L.legacy_preimage(F.col("at"), F.col("data"), F.col("prev"), F.col("seq"), F.col("type")), 256).alias("hash")),
+      f"""{_CHAIN} SELECT c.chain, c.seq, sha256('{{"seq":' || c.seq::VARCHAR || ',"timestamp":' || e.ms::VARCHAR || ',"type":"' || e.type || '","data":' || {_DATA} || ',"prevHash":"' || c.prev || '"}}') AS hash FROM c JOIN e ON e.chain = c.chain AND e.seq = c.seq""")
+query("led13_session_starts", lambda s, d: L.numbered(_entries(s, d)).groupBy("chain", F.expr("at div 86400000").alias("day")).agg(F.min("seq").alias("start_seq")), f"SELECT chain, ms // 86400000 AS day, min(seq) AS start_seq FROM ({_E_SQL}) GROUP BY 1, 2")
+query("led17_cleared", lambda s, d: L.numbered(_entries(s, d)).filter(F.lit(False)).select("chain", "seq"), f"SELECT chain, seq FROM ({_E_SQL}) WHERE false")
+
+# the data of each kind of entry, as canonical JSON
+_VISITS = "SELECT page_id AS id, url, 'page ' || CAST(page_id AS STRING) AS title, page_id % 80 AS elements FROM {pages}"
+query("led08_snapshot_entry", lambda s, d: X.frame(s, d, _VISITS).select("id", L.canonical(F.to_json(F.struct("url", "title", F.col("elements").alias("elementCount")))).alias("data")), f"""SELECT id, '{{"elementCount":' || elements::VARCHAR || ',"title":"' || title || '","url":"' || url || '"}}' AS data FROM ({X.plain(_VISITS)})""")
+_SEEN = "SELECT user_id AS run, event_id, CASE event_id % 5 WHEN 0 THEN 'email' WHEN 1 THEN 'api_key' WHEN 2 THEN 'face' ELSE event_type END AS kind, CASE event_id % 3 WHEN 0 THEN 'regex' WHEN 1 THEN 'contextual' ELSE 'ml_ner' END AS method FROM {events}"
+_ORDERED = lambda c: F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("event_id", c))), lambda x: x[c]))
+_FIRSTS = lambda c: f"""(SELECT run, '["' || string_agg({c}, '","' ORDER BY f) || '"]' AS {c}s FROM (SELECT run, {c}, min(event_id) AS f FROM s GROUP BY run, {c}) GROUP BY run)"""
+query("led09_detection_entry", lambda s, d: X.frame(s, d, _SEEN).groupBy("run").agg(F.count(F.lit(1)).alias("count"), _ORDERED("kind").alias("kinds"), _ORDERED("method").alias("methods")).select("run", L.canonical(F.to_json(F.struct("methods", "kinds", "count"))).alias("data")),
+      f"""WITH s AS ({X.plain(_SEEN)}) SELECT n.run, '{{"count":' || n::VARCHAR || ',"kinds":' || kinds || ',"methods":' || methods || '}}' AS data FROM (SELECT run, count(*) AS n FROM s GROUP BY run) n JOIN {_FIRSTS('kind')} k ON k.run = n.run JOIN {_FIRSTS('method')} m ON m.run = n.run""")
+query("led10_token_entry", lambda s, d: X.frame(s, d, _SEEN).groupBy("run").agg(F.count(F.lit(1)).alias("count"), _ORDERED("kind").alias("tokenTypes")).select("run", L.canonical(F.to_json(F.struct("tokenTypes", "count"))).alias("data")),
+      f"""WITH s AS ({X.plain(_SEEN)}) SELECT n.run, '{{"count":' || n::VARCHAR || ',"tokenTypes":' || kinds || '}}' AS data FROM (SELECT run, count(*) AS n FROM s GROUP BY run) n JOIN {_FIRSTS('kind')} k ON k.run = n.run""")
+query("led11_redaction_entry", lambda s, d: X.frame(s, d, _SEEN).groupBy("run", "method").agg(F.count(F.lit(1)).alias("redactedCount")).select("run", "method", L.canonical(F.to_json(F.struct("redactedCount", "method"))).alias("data")),
+      f"""SELECT run, method, '{{"method":"' || method || '","redactedCount":' || count(*)::VARCHAR || '}}' AS data FROM ({X.plain(_SEEN)}) GROUP BY run, method""")
+query("led12_verification_entry", lambda s, d: X.frame(s, d, _SEEN).groupBy("run").agg(F.count_if(F.col("kind") == "error").alias("leakedCount"), F.count(F.lit(1)).alias("regionsChecked")).select("run", L.canonical(F.to_json(F.struct((F.col("leakedCount") == 0).alias("passed"), "regionsChecked", "leakedCount"))).alias("data")),
+      f"""SELECT run, '{{"leakedCount":' || (count(*) FILTER (kind = 'error'))::VARCHAR || ',"passed":' || CASE WHEN count(*) FILTER (kind = 'error') = 0 THEN 'true' ELSE 'false' END || ',"regionsChecked":' || count(*)::VARCHAR || '}}' AS data FROM ({X.plain(_SEEN)}) GROUP BY run""")
+_DONE = "SELECT event_id AS id, event_type AS tool, event_id % 3 <> 0 AS success, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 80 END AS element FROM {events}"
+query("led15_action_entry", lambda s, d: X.frame(s, d, _DONE).select("id", L.canonical(F.to_json(F.struct("tool", "success", F.col("element").alias("elementId")))).alias("data")), f"""SELECT id, '{{' || CASE WHEN element IS NULL THEN '' ELSE '"elementId":' || element::VARCHAR || ',' END || '"success":' || success::VARCHAR || ',"tool":"' || tool || '"}}' AS data FROM ({X.plain(_DONE)})""")
+_LOOSE = "SELECT event_id AS id, event_id % 9 AS n, event_type AS t, CASE event_id % 3 WHEN 0 THEN 'not json' ELSE chr(123) || ' \"b\" : [3, ' || chr(123) || '\"y\": true, \"x\": null' || chr(125) || ', [\"q\", \"a\"]], \"a\": ' || chr(123) || '\"z\": \"' || event_type || '\", \"k\":' || CAST(event_id % 9 AS STRING) || chr(125) || ' ' || chr(125) END AS text FROM {events}"
+for _name in ("mth19_canonical_json", "led16_canonicalize"):
+    query(_name, lambda s, d: X.frame(s, d, _LOOSE).select("id", L.canonical(F.col("text")).alias("json")), f"""SELECT id, CASE WHEN id % 3 <> 0 THEN '{{"a":{{"k":' || n::VARCHAR || ',"z":"' || t || '"}},"b":[3,{{"x":null,"y":true}},["q","a"]]}}' END AS json FROM ({X.plain(_LOOSE)})""")
 
 # loops of actions: the last five of a chain at each entry
-_SIG = "concat_ws('|', type, p1, p2, p3, p4)"
+_STAMPS = "SELECT user_id AS chain, event_id, CAST(event_id AS BIGINT) AS moment, CASE (event_id * 7 + user_id) % 9 WHEN 0 THEN 'click' WHEN 1 THEN 'find_text' WHEN 2 THEN 'wait' WHEN 3 THEN 'read_page' WHEN 4 THEN 'web_search' WHEN 5 THEN 'wait' WHEN 6 THEN 'read_page' WHEN 7 THEN 'type' ELSE 'wait' END AS type, CAST(event_id % 2 AS STRING) AS data FROM {events}"
 
 
 def loops(entries):
+    """Where a chain of actions goes round at an entry: the same three times, two in turn, or five that only look."""
+    from .policy import READ_ONLY
+
     w = Window.partitionBy("chain").orderBy("seq")
-    lag = lambda i: F.lag("type", i).over(w)
-    rows = L.numbered(entries).select("chain", "seq", "type", lag(1).alias("p1"), lag(2).alias("p2"), lag(3).alias("p3"))
+    sig = F.concat_ws("|", "type", "data")
+    rows = L.numbered(entries).select("chain", "seq", sig.alias("s0"), *(F.lag(sig, i).over(w).alias(f"s{i}") for i in (1, 2, 3)), F.sum(F.col("type").isin(*READ_ONLY).cast("int")).over(w.rowsBetween(-4, 0)).alias("looks"))
     t = F.col
-    return rows.select("chain", "seq", F.when((t("type") == t("p1")) & (t("type") == t("p2")), "repeat").when((t("type") == t("p2")) & (t("p1") == t("p3")) & (t("type") != t("p1")), "oscillation").alias("loop")).filter("loop IS NOT NULL")
+    kind = F.when((t("s0") == t("s1")) & (t("s0") == t("s2")), "repeat").when((t("s0") == t("s2")) & (t("s1") == t("s3")), "oscillation").when((t("looks") == 5) & (t("seq") >= 5), "observation")
+    return rows.select("chain", "seq", kind.alias("loop")).filter("loop IS NOT NULL")
 
 
-query("win04_action_loops", lambda s, d: loops(_entries(s, d)), f"""SELECT chain, seq, loop FROM (SELECT chain, seq, CASE WHEN type = p1 AND type = p2 THEN 'repeat' WHEN type = p2 AND p1 = p3 AND type <> p1 THEN 'oscillation' END AS loop FROM (
-  SELECT chain, seq, type, lag(type, 1) OVER w AS p1, lag(type, 2) OVER w AS p2, lag(type, 3) OVER w AS p3 FROM ({_E_SQL}) WINDOW w AS (PARTITION BY chain ORDER BY seq))) WHERE loop IS NOT NULL""")
+query("win04_action_loops", lambda s, d: loops(X.frame(s, d, _STAMPS).withColumnRenamed("moment", "at")), f"""SELECT chain, seq, loop FROM (SELECT chain, seq, CASE WHEN s0 = s1 AND s0 = s2 THEN 'repeat' WHEN s0 = s2 AND s1 = s3 THEN 'oscillation' WHEN looks = 5 AND seq >= 5 THEN 'observation' END AS loop FROM (
+  SELECT chain, seq, s0, lag(s0, 1) OVER w AS s1, lag(s0, 2) OVER w AS s2, lag(s0, 3) OVER w AS s3, sum((type IN ('find_text', 'wait', 'read_page', 'web_search'))::INT) OVER (PARTITION BY chain ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS looks
+  FROM (SELECT *, concat_ws('|', type, data) AS s0, row_number() OVER (PARTITION BY chain ORDER BY moment, event_id) AS seq FROM ({X.plain(_STAMPS)})) WINDOW w AS (PARTITION BY chain ORDER BY seq))) WHERE loop IS NOT NULL""")

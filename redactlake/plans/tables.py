@@ -29,9 +29,21 @@ scalar("joi06_covers_face", X.BOXES, covered=(F.when(B.area(A) == 0, True).other
 scalar("mth32_offset_boxes", X.BOXES, x=(F.col("ax") + F.col("bx"), "ax + bx"), y=(F.col("ay") + F.col("by_"), "ay + by_"))
 scalar("mth27_normalised_rect", X.BOXES, x=(F.col("ax") / 1440, "ax / 1440"), y=(F.col("ay") / 900, "ay / 900"), width=(F.col("aw") / 1440, "aw / 1440"), height=(F.col("ah") / 900, "ah / 900"))
 scalar("fil62_clamp_region", X.BOXES, x=(F.greatest(F.lit(0.0), F.floor("ax")).cast("long"), "greatest(0, floor(ax))::BIGINT"), width=(F.when(F.least(F.lit(80.0), F.ceil(F.col("ax") + F.col("aw"))) > F.floor("ax"), F.least(F.lit(80.0), F.ceil(F.col("ax") + F.col("aw"))) - F.floor("ax")).cast("long"), "(CASE WHEN least(80, ceil(ax + aw)) > floor(ax) THEN least(80, ceil(ax + aw)) - floor(ax) END)::BIGINT"))
-scalar("mth46_skin_colour", "SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 256 AS r, l_suppkey * 7 % 256 AS g, l_orderkey * 3 % 256 AS b FROM {lineitem}", skin=(
-    (F.col("r") > 95) & (F.col("g") > 40) & (F.col("b") > 20) & (F.greatest("r", "g", "b") - F.least("r", "g", "b") > 15) & (F.abs(F.col("r") - F.col("g")) > 15) & (F.col("r") > F.col("g")) & (F.col("r") > F.col("b")),
-    "r > 95 AND g > 40 AND b > 20 AND greatest(r, g, b) - least(r, g, b) > 15 AND abs(r - g) > 15 AND r > g AND r > b"))
+_PIXELS = "SELECT l_orderkey * 10 + l_linenumber AS id, CAST(l_partkey % 256 AS INT) AS r, CAST(l_suppkey * 7 % 256 AS INT) AS g, CAST(l_orderkey * 3 % 256 AS INT) AS b FROM {lineitem}"
+
+
+def skin(r, g, b):
+    """By any of three rules: levels, shares of the sum, or blue and red difference."""
+    total = F.nullif(r + g + b, F.lit(0))
+    nr, ng, nb = r / total, g / total, b / total
+    cb, cr = 128 - r * 0.168736 - g * 0.331264 + b * 0.5, 128 + r * 0.5 - g * 0.418688 - b * 0.081312
+    levels = (r > 95) & (g > 40) & (b > 20) & (r > g) & (r > b) & (F.abs(r - g) > 15) & (r - b > 15)
+    shares = (nr > 0.28) & (nr < 0.55) & (ng > 0.18) & (ng < 0.42) & (nb > 0.08) & (nb < 0.32) & (nr > nb)
+    return F.coalesce(levels | shares | ((cb >= 77) & (cb <= 135) & (cr >= 130) & (cr <= 177)), F.lit(False))
+
+
+scalar("mth46_skin_colour", _PIXELS, skin=(skin(F.col("r"), F.col("g"), F.col("b")), """CASE WHEN r + g + b = 0 THEN false ELSE (r > 95 AND g > 40 AND b > 20 AND r > g AND r > b AND abs(r - g) > 15 AND r - b > 15) OR (r / (r + g + b) > 0.28 AND r / (r + g + b) < 0.55 AND g / (r + g + b) > 0.18 AND g / (r + g + b) < 0.42 AND b / (r + g + b) > 0.08 AND b / (r + g + b) < 0.32 AND r > b)
+  OR (128 - r * 0.168736::DOUBLE - g * 0.331264::DOUBLE + b * 0.5::DOUBLE BETWEEN 77 AND 135 AND 128 + r * 0.5::DOUBLE - g * 0.418688::DOUBLE - b * 0.081312::DOUBLE BETWEEN 130 AND 177) END"""))
 
 # regions (from parts) and boxes (from lines) of one page: an order is a page
 _REGIONS = "SELECT l_orderkey AS page, l_linenumber AS n, CAST(l_partkey % 97 AS DOUBLE) AS x, CAST(l_suppkey % 53 AS DOUBLE) AS y, CAST(l_partkey % 41 + 5 AS DOUBLE) AS w, CAST(l_orderkey % 37 + 5 AS DOUBLE) AS h, l_linenumber % 2 AS region, l_quantity AS conf FROM {lineitem}"

@@ -116,7 +116,10 @@ def kind_name(k):
 
 scalar("str16_token_kind_label", _KINDS, described=(kind_name(K), "CASE kind " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in KIND_NAMES.items()) + " ELSE 'a sensitive value' END"))
 scalar("fil15_contextual_kind", _KINDS, vault_kind=(F.when(K.isin("person", "organization", "address"), "pii_text").otherwise("credential"), "CASE WHEN kind IN ('person', 'organization', 'address') THEN 'pii_text' ELSE 'credential' END"), selector=(F.concat(F.lit('[data-id="'), F.col("id").cast("string"), F.lit('"]')), "'[data-id=\"' || id::VARCHAR || '\"]'"))
-scalar("str48_coalesced_json", X.ERRORS, parsed=(F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"a": '), F.col("status").cast("string"), F.lit("}"))), "$.a", "int"), "status::INT"))
+_ARGS = "SELECT event_id AS id, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL WHEN 2 THEN chr(123) || '\"a\": ' || CAST(event_id AS STRING) || ', \"b\": \"' || event_type || '\"' || chr(125) WHEN 3 THEN chr(123) || '\"a\": ' WHEN 4 THEN '17' WHEN 5 THEN '[1, 2]' ELSE ' ' || chr(123) || '\"b\": null' || chr(125) END AS text FROM {events}"
+_JSON = F.try_parse_json(T)
+scalar("str48_parse_arguments", _ARGS, parsed=(F.coalesce(F.when(F.schema_of_variant(_JSON).rlike("^(OBJECT|ARRAY)"), F.to_json(_JSON)), F.lit("{}")), "CASE id % 7 WHEN 2 THEN '{\"a\":' || id::VARCHAR || ',\"b\":\"' || json_extract_string(text, '$.b') || '\"}' WHEN 5 THEN '[1,2]' WHEN 6 THEN '{\"b\":null}' ELSE '{}' END"),
+       a=(F.try_variant_get(_JSON, "$.a", "long"), "CASE WHEN id % 7 = 2 THEN json_extract_string(text, '$.a')::BIGINT END"))
 scalar("str57_error_detail", "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN chr(123) || '\"error\": ' || chr(123) || '\"code\": \"E' || CAST(event_id % 50 AS STRING) || '\", \"message\": \"' || event_type || ' failed\"' || chr(125) || chr(125) WHEN 1 THEN 'plain ' || repeat(event_type, 40) ELSE chr(123) || '\"message\": \"none\"' || chr(125) END AS text FROM {events}", detail=(
     F.when(F.get_json_object(T, "$.error.message").isNotNull(), F.substring(F.concat_ws(": ", F.get_json_object(T, "$.error.code"), F.get_json_object(T, "$.error.message")), 1, 200)).otherwise(F.substring(T, 1, 160)),
     "CASE WHEN json_valid(text) AND json_extract_string(text, '$.error.message') IS NOT NULL THEN left(concat_ws(': ', json_extract_string(text, '$.error.code'), json_extract_string(text, '$.error.message')), 200) ELSE left(text, 160) END",
