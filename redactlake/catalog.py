@@ -13,7 +13,7 @@ from .functions.deferred import resolved
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_PLANS = ("text", "values", "pages", "tables", "ledger", "learning", "streams", "policy", "search", "sessions", "reading", "vaults", "frames")
+_PLANS = ("text", "values", "pages", "tables", "ledger", "learning", "streams", "policy", "search", "reading", "vaults", "frames")
 
 
 def query(name: str, build: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:

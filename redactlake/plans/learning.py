@@ -97,3 +97,117 @@ query("lrn07_strategy_rules", lambda s, d: runs(s, d).groupBy("page_type").agg((
 query("src13_record_wire", lambda s, d: X.frame(s, d, X.CONV).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "id", "text"))).filter("rn <= 24").select("id", "rn", F.concat(F.lit("w"), F.col("rn").cast("string")).alias("wire")), f"SELECT id, rn, 'w' || rn::VARCHAR AS wire FROM (SELECT id, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, id, text) AS rn FROM ({X.plain(X.CONV)})) WHERE rn <= 24")
 _WIRE = "SELECT conv_id, turn, id, CASE conv_id % 4 WHEN 0 THEN 'w' || CAST(turn * 3 AS STRING) WHEN 1 THEN 'x7' WHEN 2 THEN 'w' ELSE 'wnine' END AS wire FROM (" + X.CONV + ") c"
 query("src12_load_wire", lambda s, d: X.frame(s, d, _WIRE).withColumn("rn", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "id", "wire"))).filter("rn <= 24").groupBy("conv_id").agg(F.count(F.lit(1)).alias("kept"), F.coalesce(F.max(F.substring("wire", 2, 20).try_cast("long")), F.lit(0)).alias("sequence")), f"SELECT conv_id, count(*) AS kept, coalesce(max(try_cast(substr(wire, 2) AS BIGINT)), 0) AS sequence FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, id, wire) AS rn FROM ({X.plain(_WIRE)})) WHERE rn <= 24 GROUP BY conv_id")
+
+# --- one run after the other: findings, corrections, reflection --------------------------------
+_RUN_ID = "user_id * 1000 + CAST(event_id % 4 AS BIGINT)"
+_FINDINGS = f"SELECT {_RUN_ID} AS run, event_id, 's' || CAST(user_id % 12 AS STRING) || '.example' AS domain, CASE user_id % 3 WHEN 0 THEN 'form' WHEN 1 THEN 'search' ELSE 'other' END AS page_type, CASE event_id % 6 WHEN 0 THEN 'email' WHEN 1 THEN 'phone' WHEN 2 THEN 'pii_text' WHEN 3 THEN 'face' WHEN 4 THEN 'card' ELSE 'id_number' END AS kind, CASE event_id % 3 WHEN 0 THEN 'regex' WHEN 1 THEN 'contextual' ELSE 'learned_rule' END AS method, CASE event_type WHEN 'error' THEN 'false_positive' WHEN 'view' THEN 'missed' ELSE 'true_positive' END AS outcome FROM {{events}} WHERE event_id % 11 = 0".replace("{{", "{").replace("}}", "}")
+_KNOWN = "SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 4 THEN 'strategy' ELSE 'pii_detection' END AS category, CASE p_partkey % 3 WHEN 0 THEN 'false_positive:' WHEN 1 THEN 'missed:' ELSE 'strategy:' END || CASE p_partkey % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'card' WHEN 2 THEN 'deterministic' ELSE 'phone' END || ':regex' AS condition, CASE WHEN p_partkey % 7 <> 0 THEN 's' || CAST(p_partkey % 12 AS STRING) || '.example' END AS domain FROM {part} WHERE p_partkey % 10 < 4"
+_FI, _KN = X.plain(_FINDINGS), X.plain(_KNOWN)
+
+
+def detection_rules(findings, known, outcome, prefix, action):
+    """A rule for each finding of an outcome whose kind has none on its domain."""
+    rows = findings.filter(F.col("outcome") == outcome)
+    if prefix == "missed":
+        rows = rows.filter(~F.col("kind").isin("pii_text", "face"))
+    old = known.filter("category = 'pii_detection'").select(F.col("domain").alias("of"), F.col("condition").alias("has"))
+    rows = rows.join(old, (F.col("domain") == F.col("of")) & F.contains("has", F.concat(F.lit(f"{prefix}:"), F.col("kind"))), "left_anti")
+    return rows.select("run", "event_id", "domain", "page_type", F.concat_ws(":", F.lit(prefix), "kind", "method").alias("condition"), F.lit(action).alias("action"), F.lit(0.5).alias("confidence"))
+
+
+def _rule_sql(outcome, prefix, action, more="true"):
+    return f"SELECT run, event_id, domain, page_type, '{prefix}:' || kind || ':' || method AS condition, '{action}' AS action, 0.5::DOUBLE AS confidence FROM ({_FI}) f WHERE outcome = '{outcome}' AND {more} AND NOT EXISTS (SELECT 1 FROM ({_KN}) k WHERE k.category = 'pii_detection' AND k.domain = f.domain AND contains(k.condition, '{prefix}:' || f.kind))"
+
+
+_FP_SQL = _rule_sql("false_positive", "false_positive", "reduce_confidence")
+_MISS_SQL = _rule_sql("missed", "missed", "add_detection", "kind NOT IN ('pii_text', 'face')")
+query("lrn05_false_positive_rules", lambda s, d: detection_rules(X.frame(s, d, _FINDINGS), X.frame(s, d, _KNOWN), "false_positive", "false_positive", "reduce_confidence"), _FP_SQL)
+query("lrn06_missed_rules", lambda s, d: detection_rules(X.frame(s, d, _FINDINGS), X.frame(s, d, _KNOWN), "missed", "missed", "add_detection"), _MISS_SQL)
+_CORRECTIONS = "SELECT DISTINCT user_id * 1000 + CAST(event_id % 4 AS BIGINT) AS run, CASE user_id % 4 WHEN 0 THEN 'email' WHEN 1 THEN 'face' WHEN 2 THEN 'card' ELSE 'never_seen' END AS kind FROM {events} WHERE event_id % 3 = 0"
+
+
+def corrected(findings, corrections):
+    """Findings of the runs that a user corrected: the first right one of the kind becomes a false positive, or one is added."""
+    rows = findings.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("event_id", "kind", "method", "outcome"))).alias("found")).join(corrections.withColumnRenamed("kind", "wrong"), "run")
+    fits = lambda p: (p["kind"] == F.col("wrong")) & (p["outcome"] == "true_positive")
+    rows = rows.withColumn("at", F.array_position(F.transform("found", fits), F.lit(True)))
+    name = lambda k, m, o: F.concat_ws(":", k, m, o)
+    changed = F.transform("found", lambda p, i: name(p["kind"], p["method"], F.when(i + 1 == F.col("at"), "false_positive").otherwise(p["outcome"])))
+    return rows.select("run", F.when(F.col("at") > 0, F.array_join(changed, ",")).otherwise(F.array_join(F.array_append(changed, name(F.col("wrong"), F.lit("user"), F.lit("false_positive"))), ",")).alias("found"), F.concat(F.lit("user:false_positive:"), "wrong").alias("log"))
+
+
+query("lrn03_user_correction", lambda s, d: corrected(X.frame(s, d, _FINDINGS), X.frame(s, d, _CORRECTIONS)), f"""WITH f AS (SELECT f.*, c.kind AS wrong, f.kind = c.kind AND outcome = 'true_positive' AS fits FROM ({_FI}) f JOIN ({X.plain(_CORRECTIONS)}) c ON c.run = f.run), g AS (SELECT *, min(CASE WHEN fits THEN event_id END) OVER (PARTITION BY run) AS hit FROM f)
+SELECT run, string_agg(kind || ':' || method || ':' || CASE WHEN event_id = hit THEN 'false_positive' ELSE outcome END, ',' ORDER BY event_id) || CASE WHEN any_value(hit) IS NULL THEN ',' || any_value(wrong) || ':user:false_positive' ELSE '' END AS found, 'user:false_positive:' || any_value(wrong) AS log FROM g GROUP BY run""")
+_ACTED = "SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS STRING) AS day, 's' || CAST(user_id % 12 AS STRING) || '.example' AS domain, CASE user_id % 3 WHEN 0 THEN 'form' WHEN 1 THEN 'search' ELSE 'other' END AS page_type, event_id % 2 = 0 AS ruled, event_type <> 'error' AS good, CASE WHEN event_type = 'error' THEN 'cause' || CAST(event_id % 3 AS STRING) END AS cause, event_type = 'purchase' AS bought FROM {events}"
+
+
+def reflections(acted, known):
+    """What every run teaches: strategies that worked or did not, successes and failures that repeat on a domain, and kinds that a domain keeps showing; less the rules that are known."""
+    run = acted.groupBy("domain", "page_type", "user_id", "day").agg(F.min("event_id").alias("id"), F.count_if("ruled").alias("ruled"), F.count_if(~F.col("ruled")).alias("asked"), F.bool_or("bought").alias("won"), F.count_if("bought").alias("found"))
+    run = before(run, visits=F.lit(1))
+    fails = acted.filter("cause IS NOT NULL AND ruled").select("domain", "user_id", "day", "cause").distinct().join(run.select("domain", "user_id", "day", "id", "page_type"), ["domain", "user_id", "day"])
+    # a cause counts if some earlier run of the domain failed by it
+    firsts = acted.filter("cause IS NOT NULL").groupBy("domain", "cause", "user_id", "day").agg(F.lit(1).alias("one")).join(run.select("domain", "user_id", "day", "id"), ["domain", "user_id", "day"]).groupBy("domain", "cause").agg(F.min(F.struct("day", "id")).alias("first"))
+    again = fails.join(firsts, ["domain", "cause"]).filter(F.col("first") < F.struct("day", "id"))
+    rule = lambda rows, condition, action, sure: rows.select("id", "domain", "page_type", condition.alias("condition"), action.alias("action"), F.lit(sure).alias("confidence"))
+    better = F.when((F.col("asked") > 0) & ((F.col("ruled") == 0) | (F.col("asked") >= F.col("ruled"))), "llm").otherwise("deterministic")
+    out = rule(run.filter("ruled > 0 AND won"), F.lit("strategy:deterministic"), F.lit("use_deterministic"), 0.6)
+    out = out.unionByName(rule(run.filter("ruled > 0 AND NOT won"), F.lit("strategy:llm"), F.lit("use_llm"), 0.6))
+    out = out.unionByName(rule(run.filter("won AND visits >= 1"), F.concat(F.lit("repeated_success:"), better), F.concat(F.lit("prefer_"), better), 0.7))
+    out = out.unionByName(rule(again, F.concat(F.lit("repeated_failure:"), "cause"), F.lit("use_llm"), 0.6))
+    out = out.unionByName(rule(run.filter("visits >= 1 AND found >= 3"), F.lit("site_pii:purchase"), F.lit("prioritize_detection"), 0.6))
+    old = known.select(F.col("domain").alias("of"), F.col("condition").alias("has"))
+    return out.join(old, (F.col("domain") == F.col("of")) & (F.col("condition") == F.col("has")), "left_anti")
+
+
+_RULED = "SELECT DISTINCT 's' || CAST(p_partkey % 12 AS STRING) || '.example' AS domain, CASE p_partkey % 5 WHEN 0 THEN 'strategy:llm' WHEN 1 THEN 'repeated_failure:cause1' WHEN 2 THEN 'repeated_success:llm' ELSE 'none' END AS condition FROM {part} WHERE p_partkey % 12 < 3"
+_REFLECT_SQL = f"""WITH a AS ({X.plain(_ACTED)}), r AS (SELECT *, count(*) OVER (PARTITION BY domain ORDER BY day, id) - 1 AS visits FROM (SELECT domain, page_type, user_id, day, min(event_id) AS id, count(*) FILTER (ruled) AS ruled, count(*) FILTER (NOT ruled) AS asked, bool_or(bought) AS won, count(*) FILTER (bought) AS found FROM a GROUP BY ALL)),
+c AS (SELECT DISTINCT r.domain, r.page_type, r.day, r.id, a.cause, a.ruled FROM a JOIN r ON r.domain = a.domain AND r.user_id = a.user_id AND r.day = a.day WHERE a.cause IS NOT NULL),
+o AS (SELECT id, domain, page_type, 'strategy:deterministic' AS condition, 'use_deterministic' AS action, 0.6::DOUBLE AS confidence FROM r WHERE ruled > 0 AND won UNION ALL SELECT id, domain, page_type, 'strategy:llm', 'use_llm', 0.6 FROM r WHERE ruled > 0 AND NOT won
+  UNION ALL SELECT id, domain, page_type, 'repeated_success:' || s, 'prefer_' || s, 0.7 FROM (SELECT *, CASE WHEN asked > 0 AND (ruled = 0 OR asked >= ruled) THEN 'llm' ELSE 'deterministic' END AS s FROM r WHERE won AND visits >= 1)
+  UNION ALL SELECT id, domain, page_type, 'repeated_failure:' || cause, 'use_llm', 0.6 FROM c WHERE ruled AND EXISTS (SELECT 1 FROM c p WHERE p.domain = c.domain AND p.cause = c.cause AND (p.day < c.day OR (p.day = c.day AND p.id < c.id)))
+  UNION ALL SELECT id, domain, page_type, 'site_pii:purchase', 'prioritize_detection', 0.6 FROM r WHERE visits >= 1 AND found >= 3)
+SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM ({X.plain(_RULED)}) k WHERE k.domain = o.domain AND k.condition = o.condition)"""
+query("lrn04_reflect", lambda s, d: reflections(X.frame(s, d, _ACTED), X.frame(s, d, _RULED)), _REFLECT_SQL)
+_SUMMED = "SELECT user_id AS id, max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS won, CASE user_id % 3 WHEN 0 THEN 'form' ELSE 'other' END AS page_type, 's' || CAST(user_id % 12 AS STRING) || '.example' AS domain, user_id % 4 AS fp, user_id % 3 AS missed, user_id % 2 AS strategies, user_id % 5 % 2 AS sites, user_id % 7 AS rules FROM {events} GROUP BY user_id"
+_IF = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {text}")))
+scalar("str55_reflection_summary", _SUMMED, summary=(
+    F.concat_ws(" ", F.concat(F.lit("Task "), F.when(F.col("won"), "succeeded").otherwise("failed"), F.lit(" on "), "page_type", F.lit(" page.")), _IF("fp", "false positive(s)."), _IF("missed", "missed item(s)."), _IF("strategies", "strategy note(s)."), F.when(F.col("sites") > 0, F.concat(F.lit("New pattern for "), "domain", F.lit("."))), _IF("rules", "new rule(s).")),
+    "concat_ws(' ', 'Task ' || CASE WHEN won THEN 'succeeded' ELSE 'failed' END || ' on ' || page_type || ' page.', CASE WHEN fp > 0 THEN fp::VARCHAR || ' false positive(s).' END, CASE WHEN missed > 0 THEN missed::VARCHAR || ' missed item(s).' END, CASE WHEN strategies > 0 THEN strategies::VARCHAR || ' strategy note(s).' END, CASE WHEN sites > 0 THEN 'New pattern for ' || domain || '.' END, CASE WHEN rules > 0 THEN rules::VARCHAR || ' new rule(s).' END)"))
+_TOLD = "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN '- Check the ' || event_type || ' first' || chr(10) || chr(10) || '2. Do not retry' || chr(10) || '  • Use search  ' || chr(10) || '4. too many' WHEN 1 THEN '' ELSE chr(10) || '***' || chr(10) || 'One line' END AS text FROM {events}"
+scalar("lrn13_lesson_lines", _TOLD, lessons=(
+    F.array_join(F.slice(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[-*•\s0-9.]+", ""))), lambda x: x != ""), 1, 3), "|"),
+    "array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '^[-*•\\s0-9.]+', ''))), lambda x: x <> '')[1:3], '|')"))
+_ROUTES = "SELECT user_id AS id, 's' || CAST(user_id % 12 AS STRING) || '.example' AS domain, CASE user_id % 3 WHEN 0 THEN 'form' ELSE 'other' END AS page_type, min(event_id) AS first, count(*) AS n FROM {events} GROUP BY user_id"
+query("str44_trajectory_routes", lambda s, d: X.frame(s, d, _ROUTES).groupBy("domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", F.concat(F.lit("On "), "domain", F.lit(" ("), "page_type", F.lit("): "), F.col("n").cast("string"), F.lit(" steps")).alias("line")))), lambda x: x["line"]), "\n").alias("routes")), f"SELECT domain, string_agg('On ' || domain || ' (' || page_type || '): ' || n::VARCHAR || ' steps', chr(10) ORDER BY first) AS routes FROM ({X.plain(_ROUTES)}) GROUP BY domain")
+
+# --- dashboards -------------------------------------------------------------------------------
+query("agg26_privacy_audit", lambda s, d: X.frame(s, d, _FINDINGS).groupBy("run").agg(F.count(F.lit(1)).alias("detections"), F.count_if(F.col("outcome") == "true_positive").alias("redacted"), F.countDistinct("kind").alias("kinds"), F.countDistinct(F.when(F.col("method") == "regex", F.concat("kind", "outcome"))).alias("tokens"), F.max_by("outcome", "event_id").alias("last")), f"SELECT run, count(*) AS detections, count(*) FILTER (outcome = 'true_positive') AS redacted, count(DISTINCT kind) AS kinds, count(DISTINCT CASE WHEN method = 'regex' THEN kind || outcome END) AS tokens, arg_max(outcome, event_id) AS last FROM ({_FI}) GROUP BY run")
+
+
+def dashboard(run, rules):
+    """One row: totals of the runs, of the rules, and the newest lessons."""
+    stats = run.agg(F.count(F.lit(1)).alias("runs"), F.floor(F.avg("success") * 100 + 0.5).cast("long").alias("success_pct"), F.countDistinct("domain").alias("sites"))
+    known = rules.agg(F.count(F.lit(1)).alias("rules"), F.count_if(F.col("confidence") >= 0.7).alias("sure"))
+    newest = run.orderBy(F.desc("day"), "id").limit(5).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_date(F.col("day").cast("date"))).alias("k"), "id", "domain"))), lambda x: x["domain"]), ",").alias("newest"))
+    return stats.crossJoin(F.broadcast(known)).crossJoin(F.broadcast(newest))
+
+
+query("agg27_learning_stats", lambda s, d: dashboard(runs(s, d), X.frame(s, d, _RULES)), f"SELECT a.*, b.*, c.* FROM (SELECT count(*) AS runs, floor(avg(success) * 100 + 0.5)::BIGINT AS success_pct, count(DISTINCT domain) AS sites FROM ({_R})) a, (SELECT count(*) AS rules, count(*) FILTER (confidence >= 0.7) AS sure FROM ({_RU})) b, (SELECT string_agg(domain, ',' ORDER BY day DESC, id) AS newest FROM (SELECT * FROM ({_R}) ORDER BY day DESC, id LIMIT 5)) c")
+_TRIED = "SELECT user_id AS run, event_id AS nth, CASE event_id % 5 WHEN 0 THEN NULL ELSE event_id % 9000 END AS headers_ms, CASE event_id % 4 WHEN 0 THEN NULL ELSE event_id % 20000 END AS first_ms, CASE event_id % 6 WHEN 0 THEN 'unanswered' WHEN 1 THEN 'silent' WHEN 2 THEN 'ceiling' ELSE 'settled' END AS ended, event_id % 30000 AS ran_ms, event_id % 7 = 0 AS busy FROM {events} WHERE event_id % 13 = 0"
+
+
+def diagnostics(turns):
+    """A text for each run: a line for every attempt, and how many ran beside local work."""
+    from .policy import seconds
+
+    w = Window.partitionBy("run").orderBy("nth")
+    when = lambda c, none, some: F.when(F.col(c).isNull(), none).otherwise(F.concat(F.lit(some), seconds(F.col(c))))
+    line = F.concat(F.col("k").cast("string"), F.lit(". "), when("headers_ms", "no headers", "headers after "), F.lit(", "), when("first_ms", "no tokens", "first token after "), F.lit(", "), "ended", F.lit(" after "), seconds(F.col("ran_ms")), F.when(F.col("busy"), " · local work").otherwise(""))
+    rows = turns.withColumn("k", F.row_number().over(w))
+    out = rows.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line")))).alias("lines"), F.count_if("busy").alias("busy"))
+    return out.select("run", F.concat(F.lit("attempts "), F.size("lines").cast("string"), F.lit("\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\nlocal work in "), F.col("busy").cast("string")).alias("report"))
+
+
+_SEC = lambda c: f"CASE WHEN {c} < 10000 THEN (floor({c} / 100 + 0.5) / 10)::DECIMAL(10,1)::VARCHAR || 's' ELSE floor({c} / 1000 + 0.5)::BIGINT::VARCHAR || 's' END"
+query("agg21_planner_report", lambda s, d: diagnostics(X.frame(s, d, _TRIED)), f"SELECT run, 'attempts ' || count(*)::VARCHAR || chr(10) || string_agg(k::VARCHAR || '. ' || CASE WHEN headers_ms IS NULL THEN 'no headers' ELSE 'headers after ' || {_SEC('headers_ms')} END || ', ' || CASE WHEN first_ms IS NULL THEN 'no tokens' ELSE 'first token after ' || {_SEC('first_ms')} END || ', ' || ended || ' after ' || {_SEC('ran_ms')} || CASE WHEN busy THEN ' · local work' ELSE '' END, chr(10) ORDER BY k) || chr(10) || 'local work in ' || (count(*) FILTER (busy))::VARCHAR AS report FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY nth) AS k FROM ({X.plain(_TRIED)})) GROUP BY run")

@@ -179,6 +179,19 @@ SELECT id, error IS NULL AND safe IS NOT NULL AS ok, CASE WHEN error IS NULL AND
   SELECT v.id, CASE WHEN v.used >= 8 THEN 'cap of 8 searches reached' ELSE v.error END AS error, pre, safe FROM ({_VERDICT_SQL} SELECT id, used, error FROM v) v
   LEFT JOIN (SELECT id, {_PRE_SQL} AS pre FROM ({_WITH} {_LINES_SQL} SELECT * FROM shown)) p ON p.id = v.id
   LEFT JOIN ({_kept_sql(_RESP)} {_MARK_SQL.format(src=_RESP)} SELECT id, safe FROM safe) s ON s.id = v.id)""")
+_FETCHED = _RESPONSES.replace("SELECT event_id AS id,", "SELECT event_id AS id, CASE event_id % 9 WHEN 0 THEN 429 WHEN 1 THEN 503 WHEN 2 THEN 401 ELSE 200 END AS status, event_id % 25 AS wanted,")
+
+
+def fetched(responses):
+    """What a stored exchange gives: its first results (1 to 20 as wanted) and the bytes of its body, or why there is none and whether to try again."""
+    ok = F.col("status") == 200
+    n = results(responses.filter(ok)).groupBy("id").agg(F.count(F.lit(1)).alias("found"))
+    why = F.when(F.col("status").isin(401, 403), "key refused").when(F.col("status") == 429, "rate limited").when(F.col("status") >= 500, "server error").when(~ok, "request refused")
+    rows = responses.join(n, "id", "left")
+    return rows.select("id", why.alias("error"), ((F.col("status") == 429) | (F.col("status") >= 500)).alias("again"), F.when(ok, F.least(F.coalesce("found", F.lit(0)), F.greatest(F.lit(1), F.least(F.lit(MOST_RESULTS), F.col("wanted"))))).alias("results"), F.octet_length("text").cast("long").alias("bytes"))
+
+
+query("src19_search_web", lambda s, d: fetched(X.frame(s, d, _FETCHED)), f"""WITH fx AS ({X.plain(_FETCHED)}), {_RESULTS_SQL} SELECT f.id, CASE WHEN status IN (401, 403) THEN 'key refused' WHEN status = 429 THEN 'rate limited' WHEN status >= 500 THEN 'server error' WHEN status <> 200 THEN 'request refused' END AS error, status = 429 OR status >= 500 AS again, CASE WHEN status = 200 THEN least(coalesce(n, 0), greatest(1, least(20, wanted))) END AS results, strlen(text) AS bytes FROM fx f LEFT JOIN (SELECT id, count(*) AS n FROM res GROUP BY id) r ON r.id = f.id""")
 _CHUNKS = "SELECT event_id AS id, CAST(event_id / 20 AS INT) AS run, chr(123) || '\"models\": [' || chr(123) || '\"id\": \"gpt-' || CAST(event_id % 7 AS STRING) || '\"' || chr(125) || ', ' || chr(123) || '\"id\": \"embed-' || CAST(event_id % 5 AS STRING) || '\"' || chr(125) || ', ' || chr(123) || '\"id\": \"o' || CAST(event_id % 3 AS STRING) || '-mini\"' || chr(125) || ', ' || chr(123) || '\"name\": \"x\"' || chr(125) || ']' || chr(125) AS text FROM {events} WHERE event_id % 20 = 0"
 query("src29_list_models", lambda s, d: X.frame(s, d, _CHUNKS).select("id", F.array_join(F.array_sort(F.filter(F.transform(F.from_json(F.get_json_object("text", "$.models"), "array<struct<id: string>>"), lambda x: x["id"]), lambda n: n.rlike("^(gpt|o[0-9]|chatgpt)"))), ",").alias("models")), f"SELECT id, array_to_string(list_sort(list_filter(json_extract_string(text, '$.models[*].id'), lambda n: regexp_matches(n, '^(gpt|o[0-9]|chatgpt)'))), ',') AS models FROM ({X.plain(_CHUNKS)})")
 
