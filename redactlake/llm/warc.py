@@ -137,12 +137,25 @@ _FIELDS = ("at", "succ", "exit", "page_id", "payload_bytes", "payload_digest", "
 _KIND = pa.list_(pa.struct([(n, pa.string() if n in ("payload_digest", "record_type") else pa.int64()) for n in _FIELDS]))
 
 
+def plain(raw: bytes) -> bytes:
+    """raw without its compression: all gzip members, one after the other, such as one for each record. A torn last member is an error."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out, rest = [], raw
+    while rest:
+        member = zlib.decompressobj(31)
+        out.append(member.decompress(rest))
+        if not member.eof:
+            raise ValueError("a gzip member of an archive is cut off")
+        rest = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
 def _listed(batches):
     """A row for each block of each archive, with the archive's size."""
     for b in batches:
         for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            raw = content.as_buffer().to_pybytes()
-            raw = zlib.decompressobj(31).decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+            raw = plain(content.as_buffer().to_pybytes())
             for n, lo in enumerate(range(0, len(raw), BLOCK)):
                 found, exits = candidates(raw, lo, min(lo + BLOCK, len(raw))), {}
                 for r in reversed(found):  # where each one's chain leaves the block
