@@ -63,31 +63,44 @@ def passage_hashes(h: np.ndarray, n_words: np.ndarray):
     return np.concatenate(keys), np.concatenate(places)
 
 
-def winnowed(h: np.ndarray) -> np.ndarray:
-    """The hashes that windows of RUN lines select: the least, of equals the last."""
+def selected(h: np.ndarray) -> np.ndarray:
+    """The line that each window of RUN lines selects: of least hash, of equals the last."""
     n = len(h) - RUN + 1
     if n <= 0:
-        return np.zeros(0, U64)
+        return np.zeros(0, np.int64)
     cols = np.stack([h[j : j + n] for j in range(RUN)], axis=1)[:, ::-1]
-    return h[np.unique(np.arange(n) + RUN - 1 - cols.argmin(axis=1))]
+    return np.arange(n) + RUN - 1 - cols.argmin(axis=1)
+
+
+def fingerprints(h: np.ndarray):
+    """Hashes and positions of the lines that windows select."""
+    at = np.unique(selected(h))
+    return h[at].view(np.int64), at
+
+
+def extended(h: np.ndarray, at: list[int]):
+    """Hash and place of each window that selects one of the positions."""
+    some = np.flatnonzero(np.isin(selected(h), at))
+    return run_hashes(h)[some].view(np.int64), some * RUN
 
 
 def _exploded(df: DataFrame, f, schema: str) -> DataFrame:
-    """Rows of f(hashes) -> arrays, with doc_id and row in front, of lines (doc_id, row, hashes)."""
+    """Rows of f(hashes) or f(hashes, at) -> arrays, with doc_id and row in front, of lines (doc_id, row, hashes, and at if it is there)."""
     names = [x.split()[0] for x in schema.split(", ")]
+    more = [c for c in ("at",) if c in df.columns]
 
     def run(batches):
         for b in batches:
             ids, out = [], []
-            for i, x in enumerate(b.column(2).to_pylist()):
-                cols = f(np.frombuffer(x, U64))
+            for i, x in enumerate(zip(*(c.to_pylist() for c in b.columns[2:]), strict=True)):
+                cols = f(np.frombuffer(x[0], U64), *x[1:])
                 ids.append(np.full(len(cols[0]), i))
                 out.append(cols)
             if out:
                 at = pa.array(np.concatenate(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(c)) for c in zip(*out, strict=True))], names=["doc_id", "row", *names])
 
-    return df.select("doc_id", "row", "hashes").mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, row long, {schema}")
+    return df.select("doc_id", "row", "hashes", *more).mapInArrow(run, f"doc_id {df.schema['doc_id'].dataType.simpleString()}, row long, {schema}")
 
 
 def removed_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
@@ -118,10 +131,10 @@ def removed_lines(docs: DataFrame, passages: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(got, pa.binary()), pa.array(short, pa.binary())], names=["doc_id", "row", "hashes", "passages"])
 
     lines = materialised(rows.mapInArrow(hashes, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, row long, hashes binary, passages binary"))
-    prints = _exploded(lines, lambda h: [winnowed(h).view(np.int64)], "print long")
+    prints = _exploded(lines, fingerprints, "print long, at long")
     again = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("print")
-    near = prints.join(again, "print", "left_semi").select("row").distinct()
-    runs = _exploded(lines.join(near, "row", "left_semi").dropDuplicates(["row"]), lambda h: [run_hashes(h).view(np.int64), np.arange(max(0, len(h) - RUN + 1)) * RUN], "run long, place long")
+    places = prints.join(again, "print", "left_semi").groupBy("row").agg(F.collect_set("at").alias("at"))
+    runs = _exploded(lines.join(places, "row").dropDuplicates(["row"]), extended, "run long, place long")
     if passages:
         short = lines.select("doc_id", "row", F.col("passages").alias("hashes"))
         runs = runs.unionByName(_exploded(short, lambda x: [x[: len(x) // 2].view(np.int64), x[len(x) // 2 :].view(np.int64)], "run long, place long"))
