@@ -6,13 +6,15 @@ words (rounded down) of word edits.
 
 Windows of an item's size are embedded by the CGK random walk, which turns edit
 distance into Hamming distance; a window is a candidate if it agrees with the item
-on some of the repeated samples of places, as many as the target recall asks for.
+on all SAMPLED places of some of the repeated samples, of which there are enough for
+the target recall at the full edit budget (measured: see AGREE). Places lie before
+the walks end, and the padding behind a string agrees with nothing.
 Windows are laid only where the q-gram lemma allows a match (an item within e edits
 keeps at least L - q + 1 - q e of its q-grams within e diagonals), which drops
 nothing. Candidates are verified by exact semi-global edit distance.
 
-Items are taken in blocks of ITEMS, so what tasks get is bounded whatever the size
-of the benchmark.
+Items are taken in blocks of ITEMS and of ITEM_WORDS words, so what tasks get is
+bounded whatever the size of the benchmark; a longer item is a block of its own.
 
 Nulls, ties, empties: null and wordless texts and items match nothing; equal items
 are each reported; overlapping matches of one item are one, the nearest, of equals
@@ -27,12 +29,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._batch import LOWER, U64, chunks, load, mix, shingles, windows, words
 from ._blobs import ragged
 
-ITEMS = 2000
-RECALL, AGREE, SAMPLED, WALKS = 0.999, 0.5, 3, 4
+ITEMS, ITEM_WORDS = 10_000, 1_000_000
+#: Share of places in which walks agree at the full edit budget, about: on average 0.58 for 8 words, 0.48 for 20, 0.40 for 40, 0.32 for 80.
+RECALL, AGREE, SAMPLED, WALKS, STEPS = 0.9999, 0.25, 2, 8, 1.6
+#: Cells of embedded windows that are held at once.
+CELLS = 1 << 21
 _EDGE = np.zeros(256, dtype=bool)
 _EDGE[list(b".,;:!?()[]{}\"'*_-|&%$#")] = True
 _PAD = U64(0)
@@ -53,35 +59,31 @@ def bare_words(buf: np.ndarray, offs: np.ndarray):
 
 
 def embed(x: np.ndarray, walk: int) -> np.ndarray:
-    """CGK embedding of each row of x (words, padded by _PAD): three steps a place."""
+    """The first STEPS * size steps of the CGK embedding of each row of x (words, padded by _PAD)."""
     n, m = x.shape
+    steps = math.ceil(STEPS * m)
     x = np.concatenate([x, np.full((n, 1), _PAD)], axis=1)
-    salt = mix(np.arange(3 * m, dtype=U64) + U64(walk * 1_000_003 + 1))
-    at, rows, out = np.zeros(n, np.int64), np.arange(n), np.empty((n, 3 * m), U64)
-    for j in range(3 * m):
+    salt = mix(np.arange(steps, dtype=U64) + U64(walk * 1_000_003 + 1))
+    at, rows, out = np.zeros(n, np.int64), np.arange(n), np.empty((n, steps), U64)
+    for j in range(steps):
         c = x[rows, at]
         out[:, j] = c
         at = np.minimum(at + (mix(c + salt[j]) & U64(1)).astype(np.int64), m)
     return out
 
 
-def nearest(item: list[int], text: list[int]) -> tuple[int, int, int]:
+def nearest(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """Least edits between item and a stretch of text, and its first and end word (the shortest of the first ones)."""
-    prev = [(0, -j) for j in range(len(text) + 1)]  # edits, less the first word: of equals the later start
-    for i, w in enumerate(item, 1):
-        row = [(i, prev[0][1])]
-        for j, v in enumerate(text, 1):
-            d, s = prev[j - 1]
-            best = (d + (w != v), s)
-            up, left = prev[j], row[j - 1]
-            if (up[0] + 1, up[1]) < best:
-                best = (up[0] + 1, up[1])
-            if (left[0] + 1, left[1]) < best:
-                best = (left[0] + 1, left[1])
-            row.append(best)
-        prev = row
-    j = min(range(len(prev)), key=lambda j: (prev[j][0], j))
-    return prev[j][0], -prev[j][1], j
+    m = len(text)
+    one = m + 2  # an edit; below it the first word, of which the later is less
+    place = np.arange(m + 1, dtype=np.int64)
+    row = m - place
+    for w in item:
+        there = row[:-1] + np.where(text == w, 0, one)
+        row = np.minimum(row + one, np.append(row[0] + one, there))
+        row = np.minimum.accumulate(row - place * one) + place * one
+    j = int(np.argmin(row // one))
+    return int(row[j] // one), int(m - row[j] % one), j
 
 
 class Index:
@@ -114,13 +116,17 @@ class Index:
             there[(h >> U64(44)).astype(np.int64)] = True
             self.grams[q] = h[order], item[order], at[order], there
         self.longest = int(self.size.max()) if len(self.size) else 0
-        if self.longest:
-            x = np.full((len(self.words), self.longest), _PAD)
-            for i, w in enumerate(self.words):
-                x[i, : len(w)] = w
-            self.walks = [embed(x, k) for k in range(WALKS)]
         rng = np.random.default_rng(11)
-        self.samples = [rng.random((SAMPLED,)) for _ in range(repetitions())]
+        each = -(-repetitions() // WALKS)
+        self.samples = [rng.random(each * SAMPLED) for _ in range(WALKS)]
+        # of the items' walks only the sampled places are kept
+        self.own = [np.zeros((len(self.words), each * SAMPLED), U64) for _ in range(WALKS)]
+        for i, w in enumerate(self.words):
+            for k in range(WALKS):
+                self.own[k][i] = embed(w[None, :], k)[0, self._places(k, np.array([i]))[0]]
+
+    def _places(self, walk: int, item: np.ndarray) -> np.ndarray:
+        return (self.samples[walk][None, :] * np.ceil(STEPS * self.size[item])[:, None]).astype(np.int64)
 
     def _regions(self, h: np.ndarray, wb: np.ndarray):
         """text, item, window start of the windows that the q-gram lemma allows."""
@@ -161,10 +167,12 @@ class Index:
         """Rows of x that agree with their item on all places of some sample."""
         out = np.zeros(len(x), bool)
         for k in range(WALKS):
-            e, own = embed(x, k), self.walks[k]
-            for u in self.samples[k::WALKS]:
-                at = (u[None, :] * 3 * self.size[item][:, None]).astype(np.int64)
-                out |= (np.take_along_axis(e, at, 1) == own[item[:, None], at]).all(axis=1)
+            left = np.flatnonzero(~out)
+            if not len(left):
+                break
+            e, own = embed(x[left], k), self.own[k][item[left]]
+            same = (np.take_along_axis(e, self._places(k, item[left]), 1) == own) & (own != _PAD)
+            out[left] = same.reshape(len(left), -1, SAMPLED).all(axis=2).any(axis=1)
         return out
 
     def matches(self, buf: np.ndarray, offs: np.ndarray):
@@ -174,13 +182,20 @@ class Index:
             return []
         doc, item, start = self._regions(h, wb)
         keep = np.zeros(len(doc), bool)
-        for a in range(0, len(doc), 4096):
-            d, i, s = doc[a : a + 4096], item[a : a + 4096], start[a : a + 4096]
-            cell = np.arange(self.longest)[None, :]
+        order = np.argsort(self.size[item], kind="stable")  # windows of like sizes are embedded together
+        a = 0
+        while a < len(order):
+            # as many as fit into CELLS by the largest of them
+            sizes = self.size[item[order[a:]]]
+            z = a + max(1, int(np.searchsorted(sizes * np.arange(1, len(sizes) + 1), CELLS)))
+            some = order[a:z]
+            d, i, s = doc[some], item[some], start[some]
+            cell = np.arange(int(self.size[i].max()))[None, :]
             at = s[:, None] + cell
             inside = (cell < self.size[i][:, None]) & (at >= 0) & (at < np.diff(wb)[d][:, None])
             x = np.where(inside, h[np.clip(at + wb[d][:, None], 0, len(h) - 1)], _PAD)
-            keep[a : a + 4096] = self._meets(x, i)
+            keep[some] = self._meets(x, i)
+            a = z
         doc, item, start = doc[keep], item[keep], start[keep]
         out, k = [], 0
         while k < len(doc):  # candidates of one item that overlap are verified together
@@ -190,24 +205,31 @@ class Index:
             d, i = int(doc[k]), int(item[k])
             e, n = int(self.edits[i]), int(self.size[i])
             lo, hi = int(wb[d]) + max(0, int(start[k]) - e), min(int(wb[d + 1]), int(wb[d]) + int(start[z - 1]) + n + e)
-            far, a, b = nearest(self.words[i].tolist(), h[lo:hi].tolist())
+            far, a, b = nearest(self.words[i], h[lo:hi])
             if far <= e and b > a:
                 out.append((d, i, int(first[lo + a] - offs[d]), int(first[lo + b - 1] + length[lo + b - 1] - offs[d]), far))
             k = z
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start and end (bytes), edits of every match."""
+def _indexes(benchmark: DataFrame):
+    """A broadcast index of each block of the items that have text."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    count = items.count()
-    blocks = max(1, -(-count // ITEMS))
-    rows = docs.select("doc_id", F.col("text").alias("__text"))
-    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {items.schema['item_id'].dataType.simpleString()}, start long, end long, edits int"
-    out = None
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0))).first()
+    blocks = max(1, -(-n // ITEMS), -(-size // ITEM_WORDS))
     for block in range(blocks):
         own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = docs.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.orderBy("item_id").collect()]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.orderBy("item_id", "text").collect()]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id (of any type), start and end (bytes), edits of every match."""
+    rows = docs.select("doc_id", F.col("text").alias("__text"))
+    kind = benchmark.schema["item_id"].dataType
+    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, item_id {kind.simpleString()}, start long, end long, edits int"
+    arrow = to_arrow_type(kind)
+    out = None
+    for index in _indexes(benchmark):
 
         def run(batches, index=index):
             ix = index.value
@@ -215,7 +237,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, _, buf, offs in chunks(b.column(1)):
                     got = ix.matches(buf, offs)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array([lo + x[0] for x in got], pa.int64())), pa.array([ix.ids[x[1]] for x in got], pa.int64()), *(pa.array([x[k] for x in got], pa.int64()) for k in (2, 3)), pa.array([x[4] for x in got], pa.int32())],
+                        [b.column(0).take(pa.array([lo + x[0] for x in got], pa.int64())), pa.array([ix.ids[x[1]] for x in got], arrow), *(pa.array([x[k] for x in got], pa.int64()) for k in (2, 3)), pa.array([x[4] for x in got], pa.int32())],
                         names=["doc_id", "item_id", "start", "end", "edits"],
                     )
 
@@ -230,13 +252,8 @@ def op9_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a match, unchanged."""
-    benchmark = load(spark, sf_dir, "benchmark")
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
-    blocks = max(1, -(-items.count() // ITEMS))
     at = docs.columns.index("text")
-    for block in range(blocks):
-        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in own.orderBy("item_id").collect()]))
+    for index in _indexes(load(spark, sf_dir, "benchmark")):
 
         def run(batches, index=index):
             ix = index.value
