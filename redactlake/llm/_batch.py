@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 U64 = np.uint64
 CHUNK = 2 << 20
 BLOCK = 1 << 19
-_LONG = 1 << 16
+#: Words of more bytes are hashed as a whole: a polynomial says less of longer ones.
+_LONG = 1 << 9
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -183,19 +184,21 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; one in the working folder's tmp where none is set, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir("/tmp/redactlake-checkpoints")
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/redactlake-{uuid.uuid4().hex}"
+    """A new folder where all executors can write: below spark.checkpoint.dir, below the session's warehouse where that is unset. It goes when the driver's JVM ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{base.rstrip('/')}/redactlake-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(folder)
+    fs.deleteOnExit(folder)
+    return path
 
 
 def materialised(df: DataFrame) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there, and a lost executor costs no more than its running tasks."""
     spark = df.sparkSession
-    path = shared_dir(spark)
+    path = f"{shared_dir(spark)}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
