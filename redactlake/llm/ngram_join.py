@@ -44,7 +44,7 @@ ROUNDS = 3
 ENTRIES_OF_A_BLOCK = 512
 #: Longs of a set's parity sketch.
 SKETCH = 8
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 _HEAD = np.dtype([("class", "i8"), ("n", "u4"), ("count", "u4")])
 
 
