@@ -211,7 +211,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_chained_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark)
+    path = f"{shared_dir(spark)}/archives"
     write_archives(load(spark, sf_dir, "pages"), path)
     return read_archives(spark, path)
 
