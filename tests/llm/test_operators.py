@@ -305,6 +305,10 @@ def test_chains_over_many_blocks(spark, tmp_path, monkeypatch):
     assert WA.read_archives(spark, str(tmp_path / "w")).count() == 60
 
 
+def test_archives_as_a_query(spark):
+    assert WA.op7_chained_warc(spark, SF).count() == load(spark, SF, "pages").count()
+
+
 def test_archives_of_long_urls(spark, tmp_path):
     rows = [(i, "data:text/plain," + "a:b" * 40_000 if i == 3 else f"http://h/{i}", f"<p>{i}</p>") for i in range(9)]
     WA.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
