@@ -12,12 +12,23 @@ from types import ModuleType
 from typing import Any
 
 from pyspark import SparkContext
+from pyspark.sql.classic.column import Column
 
 
 class Deferred:
+    """Passes for a column where a data frame asks for one: by then there is a session to make it in."""
+
     def __init__(self, make):
         self.__dict__["_make"] = make
 
+    @property
+    def __class__(self):
+        return Column
+
+    @property
+    def _jc(self):
+        return resolved(self)._jc
+
     def __getattr__(self, name: str) -> Deferred:
         if name.startswith("__"):
             raise AttributeError(name)
@@ -52,7 +63,7 @@ for _name in ("add", "sub", "mul", "truediv", "mod", "and", "or", "eq", "ne", "l
 
 def resolved(x: Any) -> Any:
     """x with every deferred expression in it carried out."""
-    if isinstance(x, Deferred):
+    if type(x) is Deferred:
         return resolved(x._make())
     if isinstance(x, tuple):
         return type(x)(*map(resolved, x)) if hasattr(x, "_fields") else tuple(map(resolved, x))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _K = "lpad(CAST(c_custkey AS STRING), 6, '0')"
 _NOTES = [
-    f"'Write to meera.devi' || {_K} || '@example.com or raj@gmail soon'",
+    f"'Write to lena.hill' || {_K} || '@example.com or tom@gmail soon'",
     f"'Call +91 98' || substr({_K}, 4, 3) || ' 1' || substr({_K}, 3, 4) || ' now'",
     "'Patient: Maria Lopez met Dr. John Smith today'",
     f"'Aadhaar 2345 67' || substr({_K}, 1, 2) || ' ' || substr({_K}, 3, 4)",
@@ -22,7 +22,7 @@ _NOTES = [
     f"'OPENAI_API_KEY: sk-ABCDEFGHIJKLMNOPQRST' || {_K}",
     f"'password is hunter' || {_K} || ', keep it'",
     f"'Your OTP is ' || {_K}",
-    f"'with password Tr0ub4dor' || {_K} || ' please'",
+    f"'with password Gr4nite7x' || {_K} || ' please'",
     f"'token: ghp_' || repeat('a', 30) || {_K}",
     f"'contact:éabc' || {_K} || '@x.com ok'",
     "'From: Anita Rao ok Mr. Raj Kumar Singh'",
@@ -32,7 +32,7 @@ _NOTES = [
     "'aadhar no 234567890124 and card number 4111 1111 1111 1112'",
     f"'My card number 4111111111111111 and key=' || 'x' || {_K}",
     "'1234 5678 9012 3456 and 2345-6789-0124'",
-    f"'meera.work{{K}}@gmail and icon@3x and sprite@2x'".replace("{K}", "") .replace("'meera.work@gmail", f"'meera.work' || {_K} || '@gmail"),
+    f"'lena.work{{K}}@gmail and logo@4x and tile@2x'".replace("{K}", "") .replace("'lena.work@gmail", f"'lena.work' || {_K} || '@gmail"),
     f"'9876543210 or 98765-4' || substr({_K}, 3, 4)",
     "'short'",
 ]

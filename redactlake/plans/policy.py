@@ -89,6 +89,7 @@ scalar("fil40_error_page_reason", _FAILED, reason=(
     F.when(T.startswith("chrome-error://"), F.when(T.rlike("(?i)[?&]error=[^&#]"), F.url_decode(F.replace(F.regexp_extract(T, "(?i)[?&]error=([^&#]+)", 1), F.lit("+"), F.lit("%2B")))).otherwise("browser error page")),
     "CASE WHEN starts_with(text, 'chrome-error://') THEN CASE WHEN regexp_matches(text, '(?i)[?&]error=[^&#]') THEN url_decode(regexp_extract(text, '(?i)[?&]error=([^&#]+)', 1)) ELSE 'browser error page' END END"))
 _GOALS = "SELECT o_orderkey AS id, CASE o_orderkey % 12 WHEN 0 THEN 'open gmail' WHEN 1 THEN 'Go to www.YouTube.com!' WHEN 2 THEN 'show me yt.' WHEN 3 THEN 'open the pod bay doors' WHEN 4 THEN 'navigate to notion' WHEN 5 THEN 'launch nothing' || CAST(o_orderkey AS STRING) WHEN 6 THEN 'visit shop.example.co.uk' WHEN 7 THEN 'goto fb' WHEN 8 THEN '' WHEN 9 THEN 'open mail' WHEN 10 THEN 'click gmail' ELSE 'open github??' END AS text, CASE o_orderkey % 5 WHEN 0 THEN 'https://mail.google.com/mail/u/0' WHEN 1 THEN 'https://www.youtube.com/' WHEN 2 THEN 'https://github.com/x' WHEN 3 THEN 'not a url' ELSE 'https://gmail.com' END AS url FROM {orders}"
+# How a task asks for a site.
 _VERBS = r"^(?i)(?:open|go to|goto|visit|navigate to|launch|show me)\s+(\S+)$"
 
 
@@ -111,6 +112,7 @@ query("fil43_goal_satisfied", lambda s, d: X.frame(s, d, _GOALS).select("id", F.
 
 # one-step tasks against the controls of a page
 _TASKS = "SELECT o_orderkey AS id, o_custkey % 50 AS page_id, CASE o_orderkey % 14 WHEN 0 THEN 'Click the Search' WHEN 1 THEN 'tap \"email\"' WHEN 2 THEN 'fill full name with Anita Rao' WHEN 3 THEN 'type card number : 4111' WHEN 4 THEN 'scroll down' WHEN 5 THEN 'scroll top' WHEN 6 THEN 'go to gmail in a new tab' WHEN 7 THEN 'open youtube and search cats' WHEN 8 THEN 'visit https://gmail/inbox' WHEN 9 THEN 'press escape' WHEN 10 THEN 'navigate to shop.example.com' WHEN 11 THEN 'buy milk' WHEN 12 THEN 'enter mobile phone into x' ELSE 'open notion' END AS text FROM {orders}"
+# Shapes of one-step tasks.
 _CLICK, _FILL = r"""^(?:click|tap|press|hit|select)\s+(?:on\s+|the\s+)?["']?(.+?)["']?\s*$""", r"^(?:fill|type|enter|input|write)\s+(.+?)\s+(?:with|into|in|:)\s+(.+)$"
 _GO, _TAB, _STEPS = r"^(?:go to|open|navigate to|visit)\s+(.+)$", r"\bin\s+(?:a\s+|another\s+|the\s+)?new\s+tab\s*$", r"\b(and|then|after|before|next|search|find|click|type|fill|read|play|watch|submit|send|post)\b"
 _KEY, _URLISH = r"^(?:press|hit)\s+(enter|escape|tab|space|backspace|delete|arrowdown|arrowup|arrowleft|arrowright)$", r"^(https?://|www\.|[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+(?:/\S*)?$)"
@@ -330,6 +332,7 @@ scalar("str54_escalation_reason", _FOUND, reason=(
     f"CASE len({_PART_SQL}) WHEN 0 THEN 'a redaction not accepted' WHEN 1 THEN ({_PART_SQL})[1] ELSE array_to_string(({_PART_SQL})[:-2], ', ') || ' and ' || ({_PART_SQL})[-1] END"))
 
 # --- what leaves: payloads and alerts ------------------------------------------------
+# Shapes of what must not leave.
 _CARD_RUN, _LONE = r"(?<![0-9A-Za-z])(?:[0-9][ -]*?){13,19}(?![0-9A-Za-z])", r"(?<![0-9A-Za-z]){}(?![0-9A-Za-z])"
 _HINT = r"(?:aadhaar|aadhar|uidai|uid|national[ -]?id)\s*[\"':=]{0,3}\s*"
 _OWN = {k: _checksums.STAND_INS[k].replace(" ", "") for k in ("card", "aadhaar")}

@@ -25,7 +25,7 @@ V = DeferredModule(_vault)
 T = F.col("text")
 
 # --- prompts: what a user typed ------------------------------------------------------
-_PROMPTS = X.NOTES.replace("'short'", "'my aadhaar number is 2345 6789 0123 and card: 4111 1111 1111 1112 ok'").replace("'no personal data here at all ' || " + X._K, "'pay 4111111111111111 for 234567890124 or 234567890125'").replace("'From: Anita Rao ok Mr. Raj Kumar Singh'", "'email Ramesh Gupta the report and text Li Wei Chen Ping now, message the team. sent by maria lopez'").replace("'Patient: Maria Lopez met Dr. John Smith today'", "'forward this invoice to Priya Nair Iyer please; vendor: Acme Traders'")
+_PROMPTS = X.NOTES.replace("'short'", "'my aadhaar number is 2345 6789 0123 and card: 4111 1111 1111 1112 ok'").replace("'no personal data here at all ' || " + X._K, "'pay 4111111111111111 for 234567890124 or 234567890125'").replace("'From: Anita Rao ok Mr. Raj Kumar Singh'", "'email Oskar Lindt the invoice and text Li Wei Chen Ping now, message the team. sent by maria lopez'").replace("'Patient: Maria Lopez met Dr. John Smith today'", "'forward this invoice to Nora Berg Holm please; vendor: Acme Traders'")
 _EXTRA = " UNION ALL ".join([
     TX._tagged_sql(60, "credential", "Card number", r"\b\d{13,19}\b", where=D.luhn("value")), TX._tagged_sql(61, "id_text", "Aadhaar number", r"\b\d{12}\b", where=D.aadhaar("value")),
     TX._tagged_sql(62, "id_text", "Aadhaar number", P.CUED_AADHAAR, 1, "length(regexp_replace(value, '[^0-9]', '', 'g')) = 12"), TX._tagged_sql(63, "credential", "Card number", P.CUED_CARD, 1, "length(regexp_replace(value, '[^0-9]', '', 'g')) BETWEEN 13 AND 19"),
@@ -62,7 +62,7 @@ def _leading_sql(run):
     return f"CASE WHEN {n} >= 2 AND NOT (NOT regexp_matches(({w})[1], '^\\p{{Lu}}') AND lower(({w})[1]) IN {P.NO_NAME}) THEN array_to_string(({w})[1:{n}], ' ') END"
 
 
-_RUNS = "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'Ramesh Gupta the report' WHEN 1 THEN 'the team please' WHEN 2 THEN 'maria lopez about it' WHEN 3 THEN 'Solo' WHEN 4 THEN 'Li Wei Chen Ping' WHEN 5 THEN 'Anita and Raj' WHEN 6 THEN 'ana maria o''brien' ELSE ' Émile Zola ' || CAST(o_orderkey AS STRING) END AS text FROM {orders}"
+_RUNS = "SELECT o_orderkey AS id, CASE o_orderkey % 8 WHEN 0 THEN 'Oskar Lindt the invoice' WHEN 1 THEN 'the team please' WHEN 2 THEN 'maria lopez about it' WHEN 3 THEN 'Solo' WHEN 4 THEN 'Li Wei Chen Ping' WHEN 5 THEN 'Anita and Raj' WHEN 6 THEN 'ana maria o''brien' ELSE ' Émile Zola ' || CAST(o_orderkey AS STRING) END AS text FROM {orders}"
 scalar("str03_leading_name", _RUNS, name=(leading_name(T), _leading_sql("text")))
 
 
