@@ -171,8 +171,13 @@ class Family:
             # others of the gram: more than the equal one
             other = (z - a)[hit] > equal
             batch["multi"][hit[other]] = 1
-            touched = ragged(a[hit], (z - a)[hit])
-            of = np.repeat(np.arange(len(hit)), (z - a)[hit])
+            # of the level, all of the gram but an equal one if the batch has that alone: each gram once, however many share it
+            first = np.flatnonzero(np.append(True, a[hit][1:] != a[hit][:-1]))
+            alone = np.diff(np.append(first, len(hit))) == 1
+            start, count = a[hit][first], (z - a)[hit][first]
+            level["multi"][ragged(start[~alone], count[~alone])] = 1
+            touched = ragged(start[alone], count[alone])
+            of = np.repeat(first[alone], count[alone])
             level["multi"][touched[~(equal[of] & (touched == i[of]))]] = 1
         new = batch[~known]
         while self.levels and len(self.levels[-1]) < 2 * len(new):

@@ -180,6 +180,40 @@ def test_levels_grow_with_the_logarithm():
     assert len(family.levels) <= 15 and sum(map(len, family.levels)) == 10_000
 
 
+def test_a_hot_gram_costs_no_pairs():
+    """The same flags as by comparing all pairs, and a passage that very many texts share in a time that follows their number."""
+    import time
+
+    def entries(grams, seed):
+        r = np.random.default_rng(seed)
+        e = np.zeros(len(grams), SD._ENTRY)
+        e["q"] = (np.array(grams, np.uint64) << np.uint64(32)) | r.integers(0, 4, len(grams)).astype(np.uint64)
+        e["row"] = r.integers(0, 1 << 40, len(grams))
+        e = e[np.lexsort((e["s"], e["q"]))]
+        return e[np.append(True, e["q"][1:] != e["q"][:-1])]
+
+    for seed in range(30):
+        family, seen = SD.Family(), []
+        for k in range(4):
+            grams = np.random.default_rng(100 * seed + k).integers(0, 12, 20)
+            batch = entries(grams, 100 * seed + k)
+            seen += [int(x) for x in batch["q"]]
+            family.scan(batch)
+        for level in family.levels:
+            for x in level:
+                q = int(x["q"])
+                assert bool(x["dup"]) == (seen.count(q) > 1) and bool(x["multi"]) == any(y >> 32 == q >> 32 and y != q for y in seen)
+    took = []
+    for n in (5_000, 20_000):
+        family, began = SD.Family(), time.time()
+        for k in range(4):
+            e = np.zeros(n, SD._ENTRY)
+            e["q"], e["row"] = (np.uint64(7) << np.uint64(32)) | np.arange(k, 4 * n, 4, dtype=np.uint64), np.arange(n)
+            family.scan(e)
+        took.append(time.time() - began)
+    assert took[1] < 2
+
+
 def brute_components(texts):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = []
