@@ -87,7 +87,8 @@ def turn_stream(events: DataFrame) -> DataFrame:
         if state.hasTimedOut:
             why, when = due(now, 1 << 40)
             state.remove()
-            yield finished(key[0], (*now[:6], why, when))
+            if not now[6]:
+                yield finished(key[0], (*now[:6], why, when))
             return
         had = bool(now[6])
         latest = 0

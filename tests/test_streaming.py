@@ -49,4 +49,4 @@ def test_streamed_turns_equal_stored_ones(spark, tmp_path):
     q.stop()
     got = sorted((r.turn, r.ended, r.after_ms, r.n, r.tail) for r in spark.sql("SELECT * FROM turns WHERE turn < 1000").collect())
     want = sorted((r.turn, r.ended, r.after_ms, r.n, r.tail) for r in T.turns(df.filter("turn < 1000")).collect())
-    assert got == want
+    assert got == want, (set(got) - set(want), set(want) - set(got))
