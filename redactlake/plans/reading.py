@@ -169,7 +169,7 @@ scalar("src26_sensitive_kind", _INPUTS, kind=(_SENSE, _SENSE_SQL))
 scalar("src27_sensitive_label", _INPUTS, label=(F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.nullif("name", F.lit("")), _SENSE), f"coalesce(nullif(trim(label), ''), nullif(name, ''), {_SENSE_SQL})"))
 
 # --- words of images -------------------------------------------------------------
-_LINES = "SELECT p_partkey AS id, p_name || '  card ' || p_brand || ' ' || p_type AS text, CASE p_partkey % 6 WHEN 0 THEN 'part' WHEN 1 THEN ' CARD ' WHEN 2 THEN 'ar' WHEN 3 THEN 'carrd' WHEN 4 THEN 'no' ELSE 'brand' END AS span FROM {part}"
+_LINES = "SELECT p_partkey AS id, p_name || '  card ' || p_brand || ' ' || p_type AS text, CASE p_partkey % 6 WHEN 0 THEN 'Bolt' WHEN 1 THEN ' CARD ' WHEN 2 THEN 'ar' WHEN 3 THEN 'carrd' WHEN 4 THEN 'no' ELSE 'brand' END AS span FROM {part}"
 _PIECES = lambda c: F.filter(F.transform(F.split(c, " "), lambda w: F.trim(w)), lambda w: w != "")
 
 

@@ -83,9 +83,9 @@ def score(text, q):
 
 
 _SC = "CASE WHEN lower(trim({0})) = '{1}' THEN 100 WHEN starts_with(lower(trim({0})), '{1}') THEN 80 WHEN list_contains(string_split_regex(lower(trim({0})), '[^a-z0-9]+'), '{1}') THEN 60 WHEN contains(lower(trim({0})), '{1}') THEN 40 END"
-scalar("top01_score_text", _RUNS, score=(score(F.col("text"), "part"), _SC.format("text", "part")))
+scalar("top01_score_text", _RUNS, score=(score(F.col("text"), "bolt"), _SC.format("text", "bolt")))
 scalar("top05_score_field", _RUNS, score=(F.greatest(score(F.col("text"), "small"), score(F.col("label"), "small")), f"greatest({_SC.format('text', 'small')}, {_SC.format('label', 'small')})"))
-for _name, _col, _word in (("top02_rank_texts", "text", "part"), ("top06_rank_fields", "label", "small"), ("top08_rank_affordances", "label", "tin")):
+for _name, _col, _word in (("top02_rank_texts", "text", "bolt"), ("top06_rank_fields", "label", "small"), ("top08_rank_affordances", "label", "pro")):
     query(_name, lambda s, d, c=_col, q=_word: X.frame(s, d, _RUNS).withColumn("score", score(F.col(c), q)).filter("score IS NOT NULL").orderBy(F.desc("score"), "y", "x", "id").limit(50).select("id", "score"),
           f"SELECT id, score FROM (SELECT *, {_SC.format(_col, _word)} AS score FROM ({X.plain(_RUNS)})) WHERE score IS NOT NULL ORDER BY score DESC, y, x, id LIMIT 50")
 for _name, _n in (("top03_pick_text", 3), ("top04_pick_ranked", 1), ("top07_pick_field", 2)):
