@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 from collections.abc import Callable
 from types import FunctionType
 
@@ -39,10 +38,9 @@ def scalar(name: str, fixture: str, keep: tuple[str, ...] = ("id",), /, **cols:
 
 
 def _load() -> None:
-    if not _QUERIES:
-        for plan in _PLANS:
-            if importlib.util.find_spec(f"{__package__}.plans.{plan}"):
-                importlib.import_module(f"{__package__}.plans.{plan}")
+    # importing a module again does nothing; one that was imported by itself brings the others no queries
+    for plan in _PLANS:
+        importlib.import_module(f"{__package__}.plans.{plan}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

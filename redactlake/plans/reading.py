@@ -347,7 +347,7 @@ query("str40_degenerate", lambda s, d: degenerate(X.frame(s, d, _LOOPS)), f"""WI
 
 # --- personal data in what was read from an image -----------------------------------------
 _LEAST_SURE, MOST_BOXES, COVERED = 30, 40, 0.5
-_WORDS_OF = "SELECT c_custkey AS id, text FROM (" + X.NOTES.replace("c_custkey AS id", "c_custkey") + ") n UNION ALL SELECT -s_suppkey AS id, 'Reply to Anlta Ra0 or Anita Rao and ANITA RAO at 98765 43210' AS text FROM {supplier}"
+_WORDS_OF = "SELECT c_custkey AS id, text FROM (" + X.NOTES.replace("c_custkey AS id", "c_custkey") + ") n UNION ALL SELECT -1 - s_suppkey AS id, 'Reply to Anlta Ra0 or Anita Rao and ANITA RAO at 98765 43210' AS text FROM {supplier}"
 
 
 def word_rows(texts):
