@@ -101,3 +101,21 @@ def test_survey_ids_without_a_query_are_listed_as_open():
     built = {name.split("_")[0].upper() for name in catalog.queries()}
     covered = (top / "README.md").read_text().split("## What is covered")[1].split("\n## ")[0]
     assert len(ids) == 351 and set(re.findall(r"\b[A-Z]{3}\d\d\b", covered)) == ids - built
+
+
+def _joined(plan):
+    """Rows out of the joins of a plan that ran."""
+    name = plan.nodeName()
+    below = [plan.executedPlan()] if name == "AdaptiveSparkPlan" else [plan.plan()] if "QueryStage" in name else [plan.children().apply(i) for i in range(plan.children().size())]
+    return (plan.metrics().get("numOutputRows").get().value() if "Join" in name else 0) + sum(map(_joined, below))
+
+
+def test_tasks_of_one_wording_meet_the_controls_once(spark):
+    from redactlake.plans import policy as PO
+
+    tasks = spark.sql("SELECT id, CASE WHEN id % 100 = 0 THEN CAST(NULL AS BIGINT) ELSE id % 2 END AS page_id, IF(id % 3 = 0, 'scroll down', 'click the search') AS text FROM range(3000) UNION ALL SELECT 3000, 0, NULL")
+    controls = spark.sql("SELECT id + 5 AS id, id % 2 AS page_id, 'Search' AS name, 'button' AS role FROM range(400)")
+    out = PO.one_step(tasks, controls)
+    rows = {r.id: (r.action, r.element_id, r.argument) for r in out.collect()}
+    assert len(rows) == 3001 and rows[1] == ("click", 6, None) and rows[2] == ("click", 5, None) and rows[3] == ("scroll", None, "down") and rows[100] == rows[3000] == (None, None, None)
+    assert _joined(out._jdf.queryExecution().executedPlan()) < 2 * len(rows)  # not 200 controls a task
