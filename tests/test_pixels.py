@@ -7,6 +7,7 @@ import pytest
 
 from redactlake import catalog
 from redactlake.functions import audio as A
+from redactlake.functions import draws as D
 from redactlake.functions import pixels as K
 from redactlake.plans import frames as FR
 
@@ -173,3 +174,41 @@ def test_blur_and_sharpening_of_whole_frames():
                 around = img[max(0, y - 3) : y + 4, max(0, x - 3) : x + 4, 2].astype(float)
                 assert abs(int(out[y, x, 2]) - min(255, max(0, 2 * float(img[y, x, 2]) - around.mean()))) <= 0.51
         assert (out[:2] == img[:2]).all() and (out[43:] == img[43:]).all() and (out[:, 0] == img[:, 0]).all() and (out[..., 3] == 255).all()
+
+
+#: Queries that take frames in stacks.
+STACKS = ["mth38_attacks"]
+
+
+@pytest.mark.parametrize("name", STACKS)
+def test_stacked_frames_give_the_rows_of_single_ones(name):
+    """Every kind of frame, numbers of 64 bits, one whose regions a generator draws anew, and values that meet a threshold."""
+    ids = [*range(240), 899_999, 2**33 + 6, 28_812_348, 256_142, 641_962, 291_298, 584_222, 223_339, 3, 3]
+    single = [(i, *r) for i in ids for r in FR.ROWS[name](i)]
+    for made in (FR.drawn, FR.shipped):
+        made.cache_clear()
+    stack = FR.Stack(ids)
+    frame, *columns = FR.STACKED[name](stack)
+    assert list(zip(stack.ids[frame].tolist(), *(c.tolist() for c in columns), strict=True)) == single
+    assert FR.drawn.cache_info().misses == FR.shipped.cache_info().misses == 0
+
+
+@pytest.mark.parametrize("name", STACKS)
+def test_queries_of_stacks_have_a_row_for_each_of_single_frames(spark, name):
+    ids = [r.c_custkey for r in spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey").collect()]
+    assert sorted(map(tuple, catalog.queries()[name](spark, "/root/testdata/sf0.001").collect())) == sorted((i, *r) for i in ids for r in FR.ROWS[name](i))
+
+
+def test_draws_of_many_seeds_are_those_of_generators():
+    seeds, lows, highs = np.array([*range(50), 2**32 - 1, 2**32, 2**40 + 3]), np.array([-4, 1, 0]), np.array([50, 30, 9])
+    assert (D.integers(seeds, lows, highs)[0] == [np.random.default_rng(i).integers(lows, highs) for i in seeds.tolist()]).all()
+    assert (D.noise(seeds, 600) == [np.random.default_rng(i).integers(0, 256, 600) for i in seeds.tolist()]).all()
+    assert D.integers(np.array([28_812_355]), FR._LOW, FR._HIGH)[1].all()
+    with pytest.raises(ValueError):
+        D.noise(np.array([-1]), 2)
+
+
+def test_what_meets_a_threshold_is_not_rounded_past_it():
+    for i, n in ((256_142, 0), (641_962, 0), (754_166, 2), (612_462, 0)):
+        assert [left for at, left, _ in K.attacks(FR.drawn(i), FR.shipped(i), FR.regions(i)) if at == n] == [K.RESIDUAL]
+    assert K.variance(FR.drawn(291_298), *FR.regions(291_298)[1]) == K.PLAIN
