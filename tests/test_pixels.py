@@ -177,7 +177,7 @@ def test_blur_and_sharpening_of_whole_frames():
 
 
 #: Queries that take frames in stacks.
-STACKS = ["mth38_attacks", "mth40_difference", "mth41_gradient", "mth42_changed_share", "mth44_verify_regions"]
+STACKS = ["mth38_attacks", "mth40_difference", "mth41_gradient", "mth42_changed_share", "mth44_verify_regions", "udf06_process_frame"]
 
 
 @pytest.mark.parametrize("name", STACKS)
